@@ -31,6 +31,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op05_toxicity import fit, toxicity
+
+    docs = documents(spark, sf_dir)
+    return toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op09_quality import fit, quality
+
+    docs = documents(spark, sf_dir)
+    return quality(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from issq.llm.op10_packing import pack
 
@@ -38,7 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_token_counts, op5_toxicity, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,21 +102,24 @@ def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans given in ascending order of start."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, *ends: np.ndarray):
+    """64-bit hashes of byte spans given in ascending order of start; with
+    several arrays of ends, a tuple of hash arrays that share the starts."""
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in ends]
     i, n = 0, len(starts)
     while i < n:
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(starts, base + BLOCK)))
-        stop = int(ends[i:j].max())
+        stop = max(int(e[i:j].max()) for e in ends)
         power, inverse = _tables(stop - base + 1)
         total = np.zeros(stop - base + 1, dtype=np.uint64)
         np.cumsum(_BYTE[buf[base:stop]] * power[: stop - base], out=total[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
+        s = starts[i:j] - base
+        for o, end in zip(out, ends):
+            e = end[i:j] - base
+            o[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         i = j
-    return out
+    return out[0] if len(out) == 1 else tuple(out)
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
