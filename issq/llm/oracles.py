@@ -12,6 +12,32 @@ SELECT doc_id,
 FROM d WINDOW w AS (PARTITION BY n ORDER BY c DESC, doc_id NULLS LAST)
 """
 
+OP6 = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, regexp_extract(rest, '^([^/?#]*)', 1) AS raw, rest FROM u
+), p AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path
+  FROM h
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/'
+  END AS rule FROM p
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.com/en/7', 'example.net/de/8') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])(casino|bets|poker|pills|viagra|porn|xxx|track|ads|phishing|warez)([^a-z0-9]|$)') THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3}
+    return {"op3_exact_dedup": OP3, "op6_url_filter": OP6}

@@ -38,6 +38,25 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op06_url_filter import url_filter
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter(pages).drop("url")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op07_secret_scan import KINDS, secret_scan, written
+
+    found = secret_scan(documents(spark, sf_dir))
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
+    counts = [count(k) for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "linked")).alias("spans"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from issq.llm.op09_quality import fit, quality
 
@@ -52,7 +71,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_token_counts, op5_toxicity, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
