@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op01_decontamination import leaks
+
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from issq.llm.op03_exact_dedup import exact_dedup
 
@@ -71,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -140,7 +140,8 @@ def shingles(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tup
         out[whole] = runs[at[whole]]
     for d in np.flatnonzero((counts > 0) & (counts < size)):
         part = words[offsets[d] : offsets[d + 1]]
-        out[out_off[d]] = (part * coef[: len(part)]).sum(dtype=np.uint64) + U64(len(part)) * U64(0x2545F4914F6CDD1D)
+        tag = U64(len(part) * 0x2545F4914F6CDD1D % 2**64)
+        out[out_off[d]] = np.append(part * coef[: len(part)], tag).sum(dtype=np.uint64)
     return mix(out), out_off
 
 
