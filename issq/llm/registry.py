@@ -63,6 +63,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.concat("base", "linked")).alias("spans"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op08_lm_scoring import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from issq.llm.op09_quality import fit, quality
 
@@ -77,7 +83,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op8_lm_scoring, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
