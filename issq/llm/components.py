@@ -1,0 +1,32 @@
+"""Connected components by minimum label with pointer jumping, on written
+tables; nothing is gathered on the driver but a count of changes a round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from issq.llm.common import Scratch
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) for every node of ``edges`` (a, b: bigint, never null);
+    the label is the smallest node of the component. Edges of a hub are
+    combined before the shuffle (min), and joins can split a hot key."""
+    both = edges.where("a <> b").select("a", "b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = scratch.table(both, f"{name}-edges")
+    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
+    step = 0
+    while True:
+        step += 1
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("up"))
+        new = scratch.table(lower.join(jump, "mid").select("node", "old", F.least("mid", "up").alias("label")), f"{name}-{step}")
+        changed = new.where("old <> label").limit(1).count()
+        labels = new.select("node", "label")
+        scratch.drop(f"{name}-{step - 1}")
+        if not changed:
+            scratch.drop(f"{name}-edges")
+            return labels

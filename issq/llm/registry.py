@@ -23,6 +23,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from issq.llm.op02_jaccard_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from issq.llm.op03_exact_dedup import exact_dedup
 
@@ -83,7 +89,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op8_lm_scoring, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_exact_dedup, op4_token_counts, op5_toxicity, op6_url_filter, op7_secret_scan, op8_lm_scoring, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
