@@ -25,13 +25,15 @@ from pyspark.sql import functions as F
 
 from issq.llm import textkernel as tk
 from issq.llm.common import held_out, session_limits
-from issq.llm.labelled import MAX_ROWS, labelled_sample, sigmoid
+from issq.llm.labelled import labelled_sample, sigmoid
 
 #: General insults in English, a voter that needs no labels (fixed values).
 INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"]
 #: Byte lengths of the word beginnings used as features; 0 is the whole word.
 HEADS = (0, 5, 6, 7, 8)
 FEATURES = 1500
+#: Labelled rows that the voters and the classifier are fitted on, at most.
+MAX_ROWS = 4000
 MIN_DOCS = 3
 #: Lexicon voters: entries taken from the mined list, by rank.
 LEXICONS = ((0, 25), (25, 100), (100, 300), (300, 700), (700, 1500))
@@ -145,24 +147,31 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
     fixed = tk.words_of(pa.array([" ".join(INSULTS)]))[4] ^ np.uint64(0x51ED270B)
     if not len(y) or y.min() == y.max():
         return Model(fixed, np.full(len(fixed), 4.0), np.log(0.1 / 0.9))
-    at, hashes, masks, capital, marks = features(texts)
-    n, doc = len(y), np.repeat(np.arange(len(y)), np.diff(at))
-    words = np.maximum(np.diff(at), 1)
-    # Mining: mean dampened density by class, against its spread.
-    found = []
-    for h, mask in zip(hashes, masks):
-        key, inv = np.unique(h[mask], return_inverse=True)
-        pair, count = np.unique(inv * n + doc[mask], return_counts=True)
-        f, d = pair // n, pair % n
+    n, found = len(y), []
+    parts = [(a, texts.slice(a, b - a)) for a, b in tk.pieces(texts)]
+    # Mining: mean dampened density by class, against its spread; one kind of
+    # feature at a time, and piece by piece, to bound the memory.
+    for k in range(len(HEADS)):
+        keys_, docs_, values_ = [], [], []
+        for base, part in parts:
+            at, hashes, masks, *_ = features(part)
+            doc = np.repeat(np.arange(len(part)), np.diff(at))[masks[k]]
+            key, inv = np.unique(hashes[k][masks[k]], return_inverse=True)
+            pair, count = np.unique(inv * len(part) + doc, return_counts=True)
+            keys_.append(key[pair // len(part)])
+            docs_.append((pair % len(part) + base).astype(np.int32))
+            values_.append(damp(count, np.diff(at)[pair % len(part)]).astype(np.float32))
+        key, f = np.unique(np.concatenate(keys_), return_inverse=True)
+        d, v = np.concatenate(docs_), np.concatenate(values_)
         docs_with = np.bincount(f, minlength=len(key))
-        v = damp(count, words[d])
         s1, s0 = (np.bincount(f, weights=v * (y[d] == c), minlength=len(key)) for c in (1, 0))
         sq = np.bincount(f, weights=v * v, minlength=len(key))
         m1, m0 = s1 / y.sum(), s0 / (n - y.sum())
         var = sq / n - ((s1 + s0) / n) ** 2
         strength = np.where((docs_with >= MIN_DOCS) & (m1 > m0), (m1 - m0) / np.sqrt(var + 1e-4) * np.sqrt(n), 0)
-        keep = np.argsort(-strength)[: n_features]
+        keep = np.argsort(-strength)[:n_features]
         found += [(strength[i], key[i], m1[i], m0[i]) for i in keep if strength[i] > 0]
+        del keys_, docs_, values_, key, f, d, v
     found.sort(key=lambda x: (-x[0], x[1]))
     seen, ranked = set(), []
     for item in found:
@@ -174,12 +183,18 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
     keys = np.array([x[1] for x in ranked], dtype=np.uint64)
     rank = {k: r for r, k in enumerate(keys.tolist())}
     model = Model(keys, np.zeros(len(keys)), 0.0)
-    d, c, v = model.values(at, hashes, masks)
+    got, hits, capital, marks = [], np.zeros(n), np.zeros(n), np.zeros(n)
+    for base, part in parts:
+        at, hashes, masks, capital_, marks_ = features(part)
+        d, c, v = model.values(at, hashes, masks)
+        got.append((d + base, c, v))
+        rows = slice(base, base + len(part))
+        capital[rows], marks[rows] = capital_, marks_
+        hits[rows] = tk.sums(np.isin(hashes[0], fixed).astype(np.int64), at)
+    d, c, v = (np.concatenate([g[k] for g in got]) for k in range(3))
     order = np.array([rank[k] for k in model.keys.tolist()], dtype=np.int64)
     # Voters
     votes = []
-    insult = np.isin(hashes[0], fixed)
-    hits = np.bincount(doc, weights=insult, minlength=n)
     votes.append(np.where(hits > 0, 1, -1))
     votes.append(np.where(marks > 0.01, 1, -1))
     votes.append(np.where(capital > 0.3, 1, -1))
