@@ -436,3 +436,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = rows.join(least.withColumnRenamed("label", "l"), (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's smallest; all columns
+    kept. Rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col)
+    dropped = found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("gone_")).distinct()
+    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("gone_"), "left_anti")

@@ -246,3 +246,18 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(lambda it: _score(it, model), f"id {df.schema[id_col].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = tk.no_nulls(batch.column(text_col))
+        keep = np.ones(batch.num_rows, dtype=bool)
+        for a, b in tk.pieces(texts):
+            keep[a:b] = model.score(texts.slice(a, b - a)) < 0.5
+        yield batch.filter(pa.array(keep))
+
+
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that are not predicted toxic, all columns kept."""
+    session_limits(df.sparkSession)
+    return df.mapInArrow(lambda it: _keep(it, model, text_col), df.schema)
