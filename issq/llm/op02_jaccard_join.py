@@ -8,9 +8,13 @@ content in both. Each set therefore signs single partitions (the subsets that
 the enumeration leaves when one of two partitions of a group must agree), as
 many from the front of the domain as the largest partner in the band can need,
 in its own band and, where a partner can be larger than it, in the next one.
-Whether a set really has enough non-empty partitions is checked for every
-partner size; one that has not also signs each feature, so that two such sets
-meet there. Hence no pair is lost, whatever the hashes do.
+Features that many documents share (found in a sample; any list is right) are
+left out of the domain at first, so that a common passage does not bring
+unrelated sets together. Whether a set really has enough non-empty partitions
+is checked for every partner size; one that has not signs at the next level as
+well: finer partitions, then all features, then each feature by itself. Two
+sets meet at the first level that one of them passes. Hence no pair is lost,
+whatever the hashes do.
 
 Hot groups. Equal sets are one node. Within a block of documents, sets similar
 to an earlier one follow it (verified), and sign under its name: a group of
@@ -22,7 +26,9 @@ they are compared themselves.
 Candidates. In a signature group every node is verified against the group's
 first. Groups that then still lie in several components have their other
 cross-component pairs verified as well, but for those that the distances to
-the first rule out. So every link between different texts is either verified
+the first rule out. A histogram of each set over the hash domain bounds the
+distance of a pair from below, so most false candidates never fetch their
+texts. So every link between different texts is either verified
 or inside one component already.
 
 Defined results: null, empty and blank texts have no shingles and link with
@@ -51,6 +57,11 @@ NUM, DEN = 3, 4
 BLOCK_BYTES = 8 << 20
 #: Bands up to this size give every feature a partition of its own, nearly.
 FINE = 32
+#: Fronts are this much longer than a set without left-out features needs.
+SLACK = 1.06
+#: The sample that shows which features are common: documents, least count of
+#: a feature among them, and features kept. None of it changes the result.
+SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_FEATURES = 4000, 5, 100_000
 ROUTED = "key int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["key", "kind", "n", "a", "b", "c", "d", "e"]
 MEMBER, SIGN, EDGE, GROUP = range(4)
@@ -63,18 +74,18 @@ def differing(a, b):
 
 
 @lru_cache(maxsize=64)
-def space(upper: int) -> tuple[int, np.ndarray]:
+def space(upper: int, fineness: int = 1) -> tuple[int, np.ndarray]:
     """Partitions n of the band (upper/2, upper], and by size b (index) how
     many from the front sets of that size sign; never falls with b."""
     b = np.arange(upper + 1)
-    if upper <= FINE:
-        n = 16 * upper
+    if upper <= FINE or fineness > 1:
+        n = 16 * upper if upper <= FINE else fineness * math.ceil(0.33 * upper + 0.5 * math.sqrt(upper))
         return n, np.full(upper + 1, n, dtype=np.int64)
     n = math.ceil(0.33 * upper + 0.5 * math.sqrt(upper))
-    filled = 1 - np.exp(-b / n)
-    filled[0] = 1
-    need = differing(b, b) + 1
-    front = need / filled + 3.0 * np.sqrt(need / filled * (1 - filled)) / filled + 1
+    filled = 1 - np.exp(-np.maximum(b, 1) / n)
+    need = SLACK * (differing(b, b) + 1)
+    front = need / filled + 2.0 * np.sqrt(need / filled * (1 - filled)) / filled + 1
+    front[: upper // 2 + 1] = 0
     return n, np.minimum(np.maximum.accumulate(np.ceil(front)), n).astype(np.int64)
 
 
@@ -83,59 +94,92 @@ def band(size: np.ndarray) -> np.ndarray:
     return (1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)).astype(np.int64)
 
 
-def signatures(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set index) of non-empty sorted sets."""
+def signatures(sets: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, set index) of non-empty sorted sets. hot: sorted features to
+    leave out at first."""
     size = np.diff(off)
-    own = band(size)
-    largest = size * DEN // NUM
-    out_sig, out_set = [], []
+    own, largest = band(size), size * DEN // NUM
+    cold, cold_off = sets, off
+    if len(hot):
+        keep = hot[np.minimum(np.searchsorted(hot, sets), len(hot) - 1)] != sets
+        total = np.zeros(len(sets) + 1, dtype=np.int64)
+        np.cumsum(keep, out=total[1:])
+        cold, cold_off = sets[keep], total[off]
+    levels = ((cold, cold_off, 1), (cold, cold_off, 2), (sets, off, 1))
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for shift in (1, 2):
         spaces = own * shift
         take = np.ones(len(size), dtype=bool) if shift == 1 else largest > own
-        low = np.maximum(size, spaces // 2 + 1)
-        high = np.minimum(largest, spaces)
+        low, high = np.maximum(size, spaces // 2 + 1), np.minimum(largest, spaces)
         for upper in np.unique(spaces[take]).tolist():
-            which = np.flatnonzero(take & (spaces == upper))
-            n, front = space(upper)
-            lens = size[which]
-            item = np.repeat(np.arange(len(which)), lens)
-            local = np.zeros(len(which) + 1, dtype=np.int64)
-            np.cumsum(lens, out=local[1:])
-            x = sets[np.repeat(off[:-1][which] - local[:-1], lens) + np.arange(int(local[-1]))]
-            part = (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-            signed = part < front[high[which]][item]
-            x, part, item = x[signed], part[signed], item[signed]
-            if not len(x):
-                weak = np.arange(len(which))
-            else:
-                head = np.ones(len(x), dtype=bool)
-                head[1:] = (part[1:] != part[:-1]) | (item[1:] != item[:-1])
-                at = np.flatnonzero(head)
-                content = np.add.reduceat(tk.mix(x), at)
-                tag = np.uint64((upper * 0x9E3779B97F4A7C15) % 2**64)
-                out_sig.append(tk.mix(content + tk.mix(part[at].astype(np.uint64) + tag)))
-                out_set.append(which[item[at]])
-                # Every partner size b in [low, high]: is the (differing + 1)-th
-                # non-empty partition within the front that b signs?
-                runs = np.searchsorted(item[at], np.arange(len(which) + 1))
-                a, lo, hi = lens, low[which], high[which]
-                k0, k1 = differing(a, lo), differing(a, hi)
-                count = k1 - k0 + 1
-                who = np.repeat(np.arange(len(which)), count)
-                k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + k0[who]
-                ratio = (DEN + NUM) // (DEN - NUM)
-                b = np.clip(ratio * k - a[who], lo[who], hi[who])
-                place = runs[who] + k
-                fine = (k < np.diff(runs)[who]) & (part[at][np.minimum(place, len(at) - 1)] < front[b])
-                weak = np.unique(who[~fine])
-            for w in weak.tolist():
-                s = which[w]
-                own_set = sets[off[s] : off[s + 1]]
-                out_sig.append(tk.mix(own_set + np.uint64((upper * 0xC2B2AE3D27D4EB4F) % 2**64)))
-                out_set.append(np.full(len(own_set), s))
-    if not out_sig:
+            todo = np.flatnonzero(take & (spaces == upper))
+            for level, (src, src_off, fineness) in enumerate(levels):
+                tag = np.uint64((upper * 8 + level) * 0x9E3779B97F4A7C15 % 2**64)
+                sig, owner, enough = _signed(src, src_off, todo, size, low, high, *space(upper, fineness), tag)
+                out.append((sig, owner))
+                todo = todo[~enough]
+                if not len(todo):
+                    break
+            tag = np.uint64((upper * 8 + len(levels)) * 0x9E3779B97F4A7C15 % 2**64)
+            out += [(tk.mix(sets[off[s] : off[s + 1]] + tag), np.full(size[s], s)) for s in todo.tolist()]
+    if not out:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_set)
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def _signed(sets, off, which, size, low, high, n, front, tag):
+    """Signatures of the partitions at the front, and for which sets they are
+    enough to meet every partner."""
+    lens = np.diff(off)[which]
+    item = np.repeat(np.arange(len(which)), lens)
+    local = np.zeros(len(which) + 1, dtype=np.int64)
+    np.cumsum(lens, out=local[1:])
+    x = sets[np.repeat(off[:-1][which] - local[:-1], lens) + np.arange(int(local[-1]))]
+    part = (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+    inside = part < front[high[which]][item]
+    x, part, item = x[inside], part[inside], item[inside]
+    if not len(x):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(len(which), dtype=bool)
+    head = np.ones(len(x), dtype=bool)
+    head[1:] = (part[1:] != part[:-1]) | (item[1:] != item[:-1])
+    at = np.flatnonzero(head)
+    part, item = part[at], item[at]
+    sig = tk.mix(np.add.reduceat(tk.mix(x), at) + tk.mix(part.astype(np.uint64) + tag))
+    # For every partner size b from low to high: is the (differing + 1)-th
+    # non-empty partition within the front that sets of size b sign?
+    runs = np.searchsorted(item, np.arange(len(which) + 1))
+    a, lo, hi = size[which], low[which], high[which]
+    k0 = differing(a, lo)
+    count = differing(a, hi) - k0 + 1
+    who = np.repeat(np.arange(len(which)), count)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + k0[who]
+    b = np.clip((DEN + NUM) // (DEN - NUM) * k - a[who], lo[who], hi[who])
+    place = np.minimum(runs[who] + k, len(part) - 1)
+    fine = (k < np.diff(runs)[who]) & (part[place] < front[b])
+    enough = np.bincount(who[~fine], minlength=len(which)) == 0
+    return sig, which[item], enough
+
+
+def histogram(items: np.ndarray, size: int) -> bytes:
+    """Counts of a set's features over equal parts of the hash domain, about
+    four a part, one byte each."""
+    shift = histogram_bits(size)
+    return np.minimum(np.bincount((items >> np.uint64(64 - shift)).astype(np.int64), minlength=1 << shift), 255).astype(np.uint8).tobytes()
+
+
+def histogram_bits(size: int) -> int:
+    return max(int(size).bit_length() - 2, 2)
+
+
+def least_distance(x: bytes, y: bytes, nx: int, ny: int) -> float:
+    """A lower bound of the Jaccard distance of two sets from histograms."""
+    p, q = np.frombuffer(x, dtype=np.uint8).astype(np.int64), np.frombuffer(y, dtype=np.uint8).astype(np.int64)
+    if len(p) > len(q):
+        p, q = q, p
+    if (p == 255).any() or (q == 255).any():
+        return 0.0
+    apart = int(np.abs(p - q.reshape(len(p), -1).sum(axis=1)).sum())
+    return 2 * apart / (nx + ny + apart)
 
 
 def jaccard_parts(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -170,21 +214,21 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tk.distinct(*tk.shingles(words, at))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], keys: list[int]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], keys: list[int], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     held, size, turn = [], 0, 0
     for batch in batches:
         held.append(batch)
         size += batch.column(1).nbytes
         if size >= BLOCK_BYTES:
-            for rows in _sign_block(held, keys, turn):
+            for rows in _sign_block(held, keys, turn, hot):
                 yield _batch(rows)
             held, size, turn = [], 0, turn + 1
     if held:
-        for rows in _sign_block(held, keys, turn):
+        for rows in _sign_block(held, keys, turn, hot):
             yield _batch(rows)
 
 
-def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int) -> Iterator[list[tuple]]:
+def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int, hot: np.ndarray) -> Iterator[list[tuple]]:
     from pyspark import TaskContext
 
     table = pa.Table.from_batches(held).combine_chunks()
@@ -196,7 +240,7 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int) -> Itera
         first = np.sort(first[uniq != 0])
         some = np.repeat(off[:-1][first] - np.concatenate([[0], np.cumsum(size[first])[:-1]]).astype(np.int64), size[first]) + np.arange(int(size[first].sum()))
         sub, sub_off = sets[some], np.concatenate([[0], np.cumsum(size[first])])
-        sig, owner = signatures(sub, sub_off)
+        sig, owner = signatures(sub, sub_off, hot)
         order = np.argsort(sig, kind="stable")
         sig, owner = sig[order], owner[order]
         lead, dist = _leaders(sig, owner, sub, sub_off)
@@ -208,17 +252,39 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int) -> Itera
         key = ids.slice(a, b - a).cast(pa.int64())
         known = key.is_valid().to_numpy(zero_copy_only=False)
         facts = np.stack([key.fill_null(0).to_numpy(zero_copy_only=False), known.astype(np.int64), node, size, leader]).astype(np.int64)
-        yield [(keys[(TaskContext.get().partitionId() + turn) % len(keys)], MEMBER, b - a, facts, far)]
+        yield [[keys[(TaskContext.get().partitionId() + turn) % len(keys)], MEMBER, b - a, facts, far, *_histograms(sets, off)]]
         owner = lead[owner]
         keep = np.ones(len(sig), dtype=bool)
         both = np.lexsort((owner, sig))
         sig, owner = sig[both], owner[both]
         keep[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
         sig, named = sig[keep], names[owner[keep]] if len(first) else names
-        bucket = ((sig >> np.uint64(16)) % np.uint64(len(keys))).astype(np.int64)
+        bucket = ((sig & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
-        yield [(keys[k], SIGN, y - x, sig[order[x:y]], named[order[x:y]]) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+        yield [_signed_row(keys[k], sig[order[x:y]], named[order[x:y]]) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+
+
+def _histograms(sets: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+    all_ = [histogram(sets[a:b], b - a) if b > a else b"" for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    return b"".join(all_), np.array([len(h) for h in all_], dtype=np.int64)
+
+
+def _signed_row(key: int, sig: np.ndarray, node: np.ndarray) -> tuple:
+    """Sorted signatures as six byte planes of their upper 48 bits (enough
+    beside the bucket: chance collisions are verified away), and the nodes by
+    number in a list."""
+    planes = (sig >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
+    names, number = np.unique(node, return_inverse=True)
+    return key, SIGN, len(sig), planes, number.astype("<u2" if len(names) <= 65536 else "<u4"), names
+
+
+def _read_signed(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(r["a"], dtype=np.uint8).reshape(6, -1)
+    wide = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    wide[:, :6] = planes.T
+    names = np.frombuffer(r["c"], dtype=np.int64)
+    return wide.view("<u8").ravel(), names[np.frombuffer(r["b"], dtype="<u2" if len(names) <= 65536 else "<u4")]
 
 
 def _leaders(sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,14 +303,16 @@ def _leaders(sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, off: np.ndarr
     pair, times = np.unique(owner[other] * n + start[other], return_counts=True)
     order = np.lexsort((-times, pair // n))
     tried: dict[int, int] = {}
+    followed: set[int] = set()
     for p in pair[order].tolist():
         s, l = divmod(p, n)
         if lead[s] != s or lead[l] != l or tried.get(s, 0) >= 3:
             continue
         tried[s] = tried.get(s, 0) + 1
         common, union = jaccard_parts(sets[off[s] : off[s + 1]], sets[off[l] : off[l + 1]])
-        if DEN * common >= NUM * union and not (lead == s).sum() > 1:
+        if DEN * common >= NUM * union and s not in followed:
             lead[s], dist[s] = l, 1 - common / union
+            followed.add(l)
     return lead, dist
 
 
@@ -254,9 +322,10 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = batch.column(1).to_numpy()
         if (kinds == MEMBER).any():
             yield batch.filter(pa.array(kinds == MEMBER))
-        for r in batch.filter(pa.array(kinds == SIGN)).select(["a", "b"]).to_pylist():
-            sigs.append(np.frombuffer(r["a"], dtype=np.uint64))
-            nodes.append(np.frombuffer(r["b"], dtype=np.int64))
+        for r in batch.filter(pa.array(kinds == SIGN)).select(["a", "b", "c"]).to_pylist():
+            sig, node = _read_signed(r)
+            sigs.append(sig)
+            nodes.append(node)
     if not sigs:
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
@@ -299,9 +368,11 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
             facts = np.frombuffer(r["a"], dtype=np.int64).reshape(5, -1)
+            stops = np.concatenate([[0], np.cumsum(np.frombuffer(r["d"], dtype=np.int64))]).astype(np.int32)
+            parts_ = pa.Array.from_buffers(pa.binary(), len(stops) - 1, [None, pa.py_buffer(stops), pa.py_buffer(r["c"])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(facts[0], mask=facts[1] == 0), *[pa.array(facts[k]) for k in (2, 3, 4)], pa.array(np.frombuffer(r["b"], dtype=float))],
-                names=["doc_id", "node", "n", "leader", "dist"],
+                [pa.array(facts[0], mask=facts[1] == 0), *[pa.array(facts[k]) for k in (2, 3, 4)], pa.array(np.frombuffer(r["b"], dtype=float)), parts_],
+                names=["doc_id", "node", "n", "leader", "dist", "histogram"],
             )
 
 
@@ -327,6 +398,22 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(want[a:b][same]), pa.array(blobs, pa.binary())], names=["node", "items"])
 
 
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets, off = shingle_sets(tk.no_nulls(batch.column(0)))
+        _, first = np.unique(set_nodes(sets, off), return_index=True)
+        for i in first.tolist():
+            yield pa.RecordBatch.from_arrays([pa.array(sets[off[i] : off[i + 1]].view(np.int64))], names=["x"])
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their histograms do not rule out."""
+    for batch in batches:
+        rows = zip(*[batch.column(k).to_pylist() for k in range(2, 7)])
+        keep = [least_distance(x, y, nx, ny) <= room + 1e-9 for x, nx, y, ny, room in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
@@ -347,20 +434,38 @@ class Join:
         self.docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
         n = parts(self.spark)
         keys = even_keys(self.spark, n)
-        routed = self.docs.mapInArrow(lambda it: _sign(it, keys), ROUTED).repartition(n, "key").mapInArrow(_group, ROUTED)
+        hot = self._common()
+        routed = self.docs.mapInArrow(lambda it: _sign(it, keys, hot), ROUTED).repartition(n, "key").mapInArrow(_group, ROUTED)
         routed = self.scratch.table(routed, "routed")
         of = lambda kind: routed.where(F.col("kind") == kind)
-        self.members = of(MEMBER).mapInArrow(_members, "doc_id long, node long, n long, leader long, dist double")
+        self.members = of(MEMBER).mapInArrow(_members, "doc_id long, node long, n long, leader long, dist double, histogram binary")
         self.members = self.scratch.table(self.members, "members")
         self.edges = self.scratch.table(of(EDGE).select("a", "b").mapInArrow(_edges, "a long, b long").distinct(), "edges")
         self.groups = self.scratch.table(of(GROUP).select("a").mapInArrow(_lists, "nodes array<long>").distinct(), "groups")
         self.scratch.drop("routed")
         self.follow = self.members.where("node <> leader").select("leader", "node", "dist").distinct()
         self.balls = self.follow.groupBy("leader").agg(F.max("dist").alias("radius"))
+        facts = self.members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("histogram").alias("histogram"))
+        facts = facts.join(self.balls.select(F.col("leader").alias("node"), "radius"), "node", "left").withColumn("radius", F.coalesce("radius", F.lit(0.0)))
+        self.facts = self.scratch.table(facts, "facts")
+
+    def _common(self) -> np.ndarray:
+        """Features that many texts of a bounded sample share, sorted."""
+        every = max(self.docs.count() // SAMPLE_DOCS, 1)
+        some = self.docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").distinct().limit(2 * SAMPLE_DOCS)
+        rows = some.mapInArrow(_features, "x long").groupBy("x").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "x").limit(SAMPLE_FEATURES).collect()
+        return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, linked, dist) of the node pairs."""
-        pairs = self.scratch.table(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        """(a, b, linked, dist) of the node pairs that can link, or whose
+        followers can."""
+        facts = self.facts
+        one = facts.select(F.col("node").alias("a"), F.col("histogram").alias("x"), F.col("n").alias("nx"), F.col("radius").alias("ra"))
+        two = facts.select(F.col("node").alias("b"), F.col("histogram").alias("y"), F.col("n").alias("ny"), F.col("radius").alias("rb"))
+        room = 1 - NUM / DEN + F.col("ra") + F.col("rb")
+        near = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(1 - F.least("nx", "ny") / F.greatest("nx", "ny") <= room + 1e-9)
+        near = near.select("a", "b", "x", "nx", "y", "ny", room.alias("room")).mapInArrow(_possible, "a long, b long")
+        pairs = self.scratch.table(near, f"{name}-pairs")
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # One row of each node stands for it; its text gives the set again.
         chosen = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("m"))
@@ -383,7 +488,9 @@ class Join:
             radius.select(F.col("leader").alias("b"), F.col("radius").alias("rb")), "b", "left")
         ends = ends.where(F.col("dist") <= 1 - NUM / DEN + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9).where("ra is not null or rb is not null")
         ends = labelled(labelled(ends, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-        all_ = self.follow.select("leader", "node").union(ends.select(F.col("a").alias("leader"), F.col("a")).distinct()).union(ends.select(F.col("b").alias("leader"), F.col("b")).distinct()).distinct()
+        ends = self.scratch.table(ends, "ends")
+        itself = ends.select(F.col("a").alias("leader"), F.col("a").alias("node")).union(ends.select("b", F.col("b").alias("c"))).distinct()
+        all_ = self.follow.select("leader", "node").union(itself).distinct()
         out = ends.join(all_.select(F.col("leader").alias("a"), F.col("node").alias("p")), "a").join(all_.select(F.col("leader").alias("b"), F.col("node").alias("q")), "b")
         return out.where("p <> q and not (p = a and q = b)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
@@ -396,12 +503,13 @@ class Join:
         rows = self.scratch.table(rows.join(mixed, "g", "left_semi"), "mixed")
         share = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("major"))
         known = done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist")
-        rows = rows.join(known, ["pivot", "node"], "left").join(self.balls.select(F.col("leader").alias("node"), "radius"), "node", "left")
-        rows = rows.withColumn("radius", F.coalesce("radius", F.lit(0.0))).withColumn("dist", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("dist")))
-        odd = rows.join(share, "g").where("label <> major").select("g", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("dist").alias("dp"), F.col("radius").alias("rp"), "pivot")
-        other = rows.select("g", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("dist").alias("dq"), F.col("radius").alias("rq"))
+        rows = rows.join(known, ["pivot", "node"], "left").join(self.facts.select("node", "n", "radius"), "node")
+        rows = rows.withColumn("dist", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("dist")))
+        odd = rows.join(share, "g").where("label <> major").select("g", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("dist").alias("dp"), F.col("radius").alias("rp"), F.col("n").alias("np"), "pivot")
+        other = rows.select("g", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("dist").alias("dq"), F.col("radius").alias("rq"), F.col("n").alias("nq"))
         able = F.abs(F.col("dp") - F.col("dq")) <= 1 - NUM / DEN + F.col("rp") + F.col("rq") + 1e-9
-        met = odd.join(other, "g").where((F.col("lp") != F.col("lq")) & (F.col("p") != F.col("pivot")) & (F.col("q") != F.col("pivot")) & F.coalesce(able, F.lit(True)))
+        alike = 1 - F.least("np", "nq") / F.greatest("np", "nq") <= 1 - NUM / DEN + F.col("rp") + F.col("rq") + 1e-9
+        met = odd.join(other, "g").where((F.col("lp") != F.col("lq")) & alike & (F.col("p") != F.col("pivot")) & (F.col("q") != F.col("pivot")) & F.coalesce(able, F.lit(True)))
         return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
     def solve(self) -> DataFrame:
