@@ -388,7 +388,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     routed = scratch.table(routed.mapInArrow(lambda it: _answer(it, shared.value), ROUTED), "routed")
     scratch.drop("counts")
     ids = routed.where(F.col("kind") == IDS)
-    sample = [_read_ids(r.asDict()) for r in ids.orderBy("block").limit(SAMPLE_BLOCKS).collect()]
+    # Numbers first: sorting whole blocks would send some from every task.
+    first = [r["block"] for r in ids.select("block").orderBy("block").limit(SAMPLE_BLOCKS).collect()]
+    sample = [_read_ids(r.asDict()) for r in ids.where(F.col("block").isin(first)).orderBy("block").collect()]
     params = train(ids, sample, lex, states, rounds, keys)
     known = spark.sparkContext.broadcast(params)
     return routed.groupBy("block").applyInArrow(lambda t: _final(t, shared.value, known.value), SCORES)
