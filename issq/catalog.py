@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from issq.plans import queries
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def flagship(spark, sf_dir):
+    return queries.flagship(spark, sf_dir)
 
 
 def base_queries() -> dict:
-    return {}
+    return dict(queries.QUERIES)
 
 
 def base_oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(queries.SQL)

@@ -42,3 +42,14 @@ def ship(spark: SparkSession) -> None:
         for p in sorted((ROOT / "issq").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
+
+
+def checkpointed(df):
+    """``df`` with its lineage cut, in the folder of spark.checkpoint.dir; only
+    a local session without that setting gets a temporary folder."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="issq-"))
+    return df.checkpoint(eager=True)
