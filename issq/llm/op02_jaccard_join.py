@@ -12,8 +12,11 @@ Features that many documents share (found in a sample; any list is right) are
 left out of the domain at first, so that a common passage does not bring
 unrelated sets together. Whether a set really has enough non-empty partitions
 is checked for every partner size; one that has not signs at the next level as
-well: finer partitions, then all features, then each feature by itself. Two
-sets meet at the first level that one of them passes. Hence no pair is lost,
+well: finer partitions, then each feature, then partitions of all features
+with the common ones, then each of them. Two sets meet at the first level that
+one of them passes. Of sets that reach the levels with common features, those
+still marked "met" have so many uncommon ones that any two of them share one
+or cannot link; such pairs are not candidates there. Hence no pair is lost,
 whatever the hashes do.
 
 Hot groups. Equal sets are one node. Within a block of documents, sets similar
@@ -24,11 +27,10 @@ metric, so a verified leader pair tells when followers cannot link; otherwise
 they are compared themselves.
 
 Candidates. In a signature group every node is verified against the group's
-first. Groups that then still lie in several components have their other
-cross-component pairs verified as well, but for those that the distances to
-the first rule out. A histogram of each set over the hash domain bounds the
-distance of a pair from below, so most false candidates never fetch their
-texts. So every link between different texts is either verified
+first. Groups that then still lie in several components are compared block by
+block. A histogram of each set over the hash domain bounds the distance of a
+pair from below, so only pairs that it leaves possible, in different
+components, are listed and verified. So every link between different texts is either verified
 or inside one component already.
 
 Defined results: null, empty and blank texts have no shingles and link with
@@ -59,9 +61,14 @@ BLOCK_BYTES = 8 << 20
 FINE = 32
 #: Fronts are this much longer than a set without left-out features needs.
 SLACK = 1.06
-#: The sample that shows which features are common: documents, least count of
-#: a feature among them, and features kept. None of it changes the result.
-SAMPLE_DOCS, SAMPLE_COUNT, SAMPLE_FEATURES = 4000, 5, 100_000
+#: The sample that shows which features are common: one text in so many, least
+#: count of a feature among them, and features kept. None of it changes the
+#: result, only the number of candidates.
+#: Nodes of a signature group that a task compares with as many others.
+BLOCK = 512
+SAMPLE_EVERY, SAMPLE_COUNT, SAMPLE_FEATURES = 16, 3, 500_000
+#: The bit of a signature that tells sets that need not meet each other there.
+MET = np.uint64(1 << 16)
 ROUTED = "key int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["key", "kind", "n", "a", "b", "c", "d", "e"]
 MEMBER, SIGN, EDGE, GROUP = range(4)
@@ -105,7 +112,6 @@ def signatures(sets: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.n
         total = np.zeros(len(sets) + 1, dtype=np.int64)
         np.cumsum(keep, out=total[1:])
         cold, cold_off = sets[keep], total[off]
-    levels = ((cold, cold_off, 1), (cold, cold_off, 2), (sets, off, 1))
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for shift in (1, 2):
         spaces = own * shift
@@ -113,15 +119,22 @@ def signatures(sets: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.n
         low, high = np.maximum(size, spaces // 2 + 1), np.minimum(largest, spaces)
         for upper in np.unique(spaces[take]).tolist():
             todo = np.flatnonzero(take & (spaces == upper))
-            for level, (src, src_off, fineness) in enumerate(levels):
-                tag = np.uint64((upper * 8 + level) * 0x9E3779B97F4A7C15 % 2**64)
-                sig, owner, enough = _signed(src, src_off, todo, size, low, high, *space(upper, fineness), tag)
-                out.append((sig, owner))
+            tag = [np.uint64((upper * 8 + level) * 0x9E3779B97F4A7C15 % 2**64) for level in range(5)]
+            for level, fineness in ((0, 1), (1, 2)):
+                sig, owner, enough = _signed(cold, cold_off, todo, size, low, high, *space(upper, fineness), tag[level])
+                out.append((sig & ~MET, owner))
                 todo = todo[~enough]
-                if not len(todo):
-                    break
-            tag = np.uint64((upper * 8 + len(levels)) * 0x9E3779B97F4A7C15 % 2**64)
-            out += [(tk.mix(sets[off[s] : off[s + 1]] + tag), np.full(size[s], s)) for s in todo.tolist()]
+            if not len(todo):
+                continue
+            most, n_cold = differing(size, high), np.diff(cold_off)
+            out += [(tk.mix(cold[cold_off[s] : cold_off[s + 1]] + tag[2]) & ~MET, np.full(n_cold[s], s)) for s in todo.tolist()]
+            todo = todo[n_cold[todo] <= most[todo]]
+            if not len(todo):
+                continue
+            met = np.where(2 * n_cold > most, MET, np.uint64(0))
+            sig, owner, enough = _signed(sets, off, todo, size, low, high, *space(upper), tag[3])
+            out.append((sig & ~MET | met[owner], owner))
+            out += [(tk.mix(sets[off[s] : off[s + 1]] + tag[4]) & ~MET | met[s], np.full(size[s], s)) for s in todo[~enough].tolist()]
     if not out:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -243,7 +256,8 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int, hot: np.
         sig, owner = signatures(sub, sub_off, hot)
         order = np.argsort(sig, kind="stable")
         sig, owner = sig[order], owner[order]
-        lead, dist = _leaders(sig, owner, sub, sub_off)
+        plain = sig & ~MET
+        lead, dist = _leaders(plain[np.argsort(plain, kind="stable")], owner[np.argsort(plain, kind="stable")], sub, sub_off)
         names = node[first]
         by_node = dict(zip(names.tolist(), range(len(first))))
         row = np.array([by_node.get(x, -1) for x in node.tolist()], dtype=np.int64)
@@ -255,9 +269,9 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int, hot: np.
         yield [[keys[(TaskContext.get().partitionId() + turn) % len(keys)], MEMBER, b - a, facts, far, *_histograms(sets, off)]]
         owner = lead[owner]
         keep = np.ones(len(sig), dtype=bool)
-        both = np.lexsort((owner, sig))
+        both = np.lexsort((sig, owner, sig & ~MET))  # of one node, unmarked before marked
         sig, owner = sig[both], owner[both]
-        keep[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+        keep[1:] = ((sig[1:] ^ sig[:-1]) & ~MET != 0) | (owner[1:] != owner[:-1])
         sig, named = sig[keep], names[owner[keep]] if len(first) else names
         bucket = ((sig & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -330,33 +344,42 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
     del sigs, nodes
+    met, sig = (sig & np.uint64(1)).astype(bool), sig >> np.uint64(1)
     order = np.argsort(sig)
-    sig, node = sig[order], node[order]
+    sig, node, met = sig[order], node[order], met[order]
     same = np.zeros(len(sig), dtype=bool)
     same[1:] = sig[1:] == sig[:-1]
     multi = same.copy()
     multi[:-1] |= same[1:]
-    sig, node = sig[multi], node[multi]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+    sig, node, met = sig[multi], node[multi], met[multi]
+    # A node once a group, unmarked if any of its entries is.
+    order = np.lexsort((met, node, sig))
+    sig, node, met = sig[order], node[order], met[order]
     keep = np.ones(len(sig), dtype=bool)
     keep[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-    sig, node = sig[keep], node[keep]
+    sig, node, met = sig[keep], node[keep], met[keep]
+    order = np.lexsort((node, met, sig))  # unmarked ones first
+    sig, node, met = sig[order], node[order], met[order]
     head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, dtype=np.int64)
     sizes = np.diff(np.append(head, len(sig)))
+    useful = (sizes > 1) & ~met[head] if len(head) else np.zeros(0, dtype=bool)
+    live = np.repeat(useful, sizes)
     pivot = np.repeat(node[head], sizes) if len(head) else node
-    other = node != pivot
+    other = live & (node != pivot)
     if not other.any():
         return
-    edges = np.unique(np.stack([pivot[other], node[other]], axis=1), axis=0)
+    pairs = np.stack([np.minimum(pivot, node)[other], np.maximum(pivot, node)[other]], axis=1)
+    edges = np.unique(pairs, axis=0)
     yield _batch([(0, EDGE, len(edges), edges[:, 0], edges[:, 1])])
-    # Larger groups, each list of nodes once.
+    # Larger groups, each list of nodes once; how many of it are unmarked.
     seen, lists = set(), []
-    for h, n in zip(head[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+    free = np.add.reduceat(~met, head)
+    big = useful & (sizes > 2)
+    for h, n, f in zip(head[big].tolist(), sizes[big].tolist(), free[big].tolist()):
         data = node[h : h + n].tobytes()
-        if data not in seen:
-            seen.add(data)
-            lists.append((0, GROUP, n, data))
+        if (data, f) not in seen:
+            seen.add((data, f))
+            lists.append((0, GROUP, f, data))
             if len(lists) == 1000:
                 yield _batch(lists)
                 lists = []
@@ -384,8 +407,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [np.frombuffer(r["a"], dtype=np.int64) for r in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["nodes"])
+        rows = batch.to_pylist()
+        out = [np.frombuffer(r["a"], dtype=np.int64) for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r["n"] for r in rows], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["free", "nodes"])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,6 +438,40 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Possible pairs of the rows of each group."""
+    for batch in batches:
+        lists = batch.column(0)
+        cuts, flat = lists.offsets.to_numpy(), lists.values
+        side, node, label, n = (flat.field(c).to_numpy() for c in ("side", "node", "label", "n"))
+        free, radius = flat.field("free").to_numpy(zero_copy_only=False), flat.field("radius").to_numpy()
+        raw, at = tk.buffers(flat.field("histogram"))
+        out = []
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            width = int((at[s + 1 : e + 1] - at[s:e]).min(initial=1 << 40)) if e > s else 0
+            bars = np.zeros((e - s, max(width, 1)), dtype=np.int32)
+            full = np.zeros(e - s, dtype=bool)
+            for i in range(e - s):
+                own = raw[at[s + i] : at[s + i + 1]]
+                full[i] = (own == 255).any()
+                bars[i] = own.reshape(width, -1).sum(axis=1)
+            one, two = (np.flatnonzero(side[s:e] == k) for k in (0, 1))
+            within = not len(two)
+            for k, i in enumerate(one.tolist()):
+                j = one[k + 1 :] if within else two
+                p, q = s + i, s + j
+                room = 1 - NUM / DEN + radius[p] + radius[q] + 1e-9
+                ok = (label[p] != label[q]) & (free[p] | free[q]) & (node[p] != node[q])
+                j, q, room = j[ok], q[ok], room[ok]
+                apart = np.abs(bars[i] - bars[j]).sum(axis=1, dtype=np.int64) * ~(full[i] | full[j])
+                apart = np.maximum(apart, np.abs(n[p] - n[q]))
+                q = q[2 * apart / (n[p] + n[q] + apart) <= room]
+                if len(q):
+                    out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], axis=1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
@@ -441,7 +499,7 @@ class Join:
         self.members = of(MEMBER).mapInArrow(_members, "doc_id long, node long, n long, leader long, dist double, histogram binary")
         self.members = self.scratch.table(self.members, "members")
         self.edges = self.scratch.table(of(EDGE).select("a", "b").mapInArrow(_edges, "a long, b long").distinct(), "edges")
-        self.groups = self.scratch.table(of(GROUP).select("a").mapInArrow(_lists, "nodes array<long>").distinct(), "groups")
+        self.groups = self.scratch.table(of(GROUP).select("n", "a").mapInArrow(_lists, "free long, nodes array<long>").distinct(), "groups")
         self.scratch.drop("routed")
         self.follow = self.members.where("node <> leader").select("leader", "node", "dist").distinct()
         self.balls = self.follow.groupBy("leader").agg(F.max("dist").alias("radius"))
@@ -451,8 +509,7 @@ class Join:
 
     def _common(self) -> np.ndarray:
         """Features that many texts of a bounded sample share, sorted."""
-        every = max(self.docs.count() // SAMPLE_DOCS, 1)
-        some = self.docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text").distinct().limit(2 * SAMPLE_DOCS)
+        some = self.docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0).select("text").distinct()
         rows = some.mapInArrow(_features, "x long").groupBy("x").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "x").limit(SAMPLE_FEATURES).collect()
         return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
 
@@ -481,54 +538,56 @@ class Join:
         return out
 
     def followers(self, near: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs between the followers of leaders that do not link but are near
-        enough that followers might, unless they are in one component."""
+        """Possible pairs between the followers of leaders that do not link but
+        are near enough that followers might, in different components."""
         radius = self.balls
         ends = near.where("not linked").join(radius.select(F.col("leader").alias("a"), F.col("radius").alias("ra")), "a", "left").join(
             radius.select(F.col("leader").alias("b"), F.col("radius").alias("rb")), "b", "left")
         ends = ends.where(F.col("dist") <= 1 - NUM / DEN + F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0)) + 1e-9).where("ra is not null or rb is not null")
-        ends = labelled(labelled(ends, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+        ends = labelled(labelled(ends, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b", F.xxhash64("a", "b").alias("g"))
         ends = self.scratch.table(ends, "ends")
         itself = ends.select(F.col("a").alias("leader"), F.col("a").alias("node")).union(ends.select("b", F.col("b").alias("c"))).distinct()
         all_ = self.follow.select("leader", "node").union(itself).distinct()
-        out = ends.join(all_.select(F.col("leader").alias("a"), F.col("node").alias("p")), "a").join(all_.select(F.col("leader").alias("b"), F.col("node").alias("q")), "b")
-        return out.where("p <> q and not (p = a and q = b)").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-
-    def rest_of_groups(self, done: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of one signature group in different components that were not
-        verified and that the distances to the group's first do not rule out."""
-        rows = self.groups.select(F.xxhash64("nodes").alias("g"), F.col("nodes")[0].alias("pivot"), F.explode("nodes").alias("node"))
+        one = ends.select("g", F.col("a").alias("leader"), F.lit(0).alias("side")).union(ends.select("g", "b", F.lit(1)))
+        rows = labelled(one.join(all_, "leader"), labels, "node", "label").withColumn("free", F.lit(True))
+        blocked = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(4)).cast("int"))
+        blocked = blocked.withColumn("other", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+        lo, hi = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
+        return self._possible_pairs(blocked.select("g", lo.alias("lo"), hi.alias("hi"), "side", "node", "label", "free"), exact=True)
+
+    def rest_of_groups(self, labels: DataFrame) -> DataFrame:
+        """Possible pairs of one signature group in different components. Large
+        groups are cut in blocks, and blocks are compared by twos, so a task
+        holds two of them however large a group is."""
+        rows = self.groups.select(F.xxhash64("nodes", "free").alias("g"), "free", ((F.size("nodes") - 1) / BLOCK).cast("int").alias("last"), F.posexplode("nodes").alias("at", "node"))
+        rows = rows.select("g", "last", "node", (F.col("at") < F.col("free")).alias("free"), (F.col("at") / BLOCK).cast("int").alias("block"))
         rows = labelled(rows, labels, "node", "label")
         mixed = rows.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g")
-        rows = self.scratch.table(rows.join(mixed, "g", "left_semi"), "mixed")
-        share = rows.groupBy("g", "label").count().groupBy("g").agg(F.max_by("label", F.struct("count", "label")).alias("major"))
-        known = done.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "dist")
-        rows = rows.join(known, ["pivot", "node"], "left").join(self.facts.select("node", "n", "radius"), "node")
-        rows = rows.withColumn("dist", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(F.col("dist")))
-        odd = rows.join(share, "g").where("label <> major").select("g", F.col("node").alias("p"), F.col("label").alias("lp"), F.col("dist").alias("dp"), F.col("radius").alias("rp"), F.col("n").alias("np"), "pivot")
-        other = rows.select("g", F.col("node").alias("q"), F.col("label").alias("lq"), F.col("dist").alias("dq"), F.col("radius").alias("rq"), F.col("n").alias("nq"))
-        able = F.abs(F.col("dp") - F.col("dq")) <= 1 - NUM / DEN + F.col("rp") + F.col("rq") + 1e-9
-        alike = 1 - F.least("np", "nq") / F.greatest("np", "nq") <= 1 - NUM / DEN + F.col("rp") + F.col("rq") + 1e-9
-        met = odd.join(other, "g").where((F.col("lp") != F.col("lq")) & alike & (F.col("p") != F.col("pivot")) & (F.col("q") != F.col("pivot")) & F.coalesce(able, F.lit(True)))
-        return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        rows = rows.join(mixed, "g", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "free")
+        return self._possible_pairs(rows, exact=False)
+
+    def _possible_pairs(self, rows: DataFrame, exact: bool) -> DataFrame:
+        """Pairs of both sides of each (g, lo, hi), or within the side where it
+        is the only one, that sizes and histograms leave possible."""
+        facts = self.facts.select("node", "n", F.lit(0.0).alias("radius") if exact else F.col("radius"), "histogram")
+        item = F.struct("side", "node", "label", "free", "n", "radius", "histogram")
+        held = rows.join(facts, "node").groupBy("g", "lo", "hi").agg(F.collect_list(item).alias("rows"))
+        return held.select("rows").mapInArrow(_compare, "a long, b long").distinct()
 
     def solve(self) -> DataFrame:
         """(node, label) over all links."""
         links = self.follow.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        first = self.verify(self.edges, "first")
-        links = links.union(first.where("linked").select("a", "b"))
-        labels = components(links, self.scratch, "c1")
-        for step, find in enumerate((lambda d, l: self.rest_of_groups(d, l), lambda d, l: self.followers(d, l))):
-            done = first if step == 0 else first.unionByName(more)
-            pairs = self.scratch.table(find(done, labels), f"rest{step}")
-            if step == 0:
-                more = first.limit(0)
+        done = self.verify(self.edges, "first")
+        links = links.union(done.where("linked").select("a", "b"))
+        labels = components(links, self.scratch, "c")
+        for step, find in enumerate((lambda: self.rest_of_groups(labels), lambda: self.followers(done, labels))):
+            pairs = self.scratch.table(find().join(done.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{step}")
             if pairs.limit(1).count():
-                checked = self.verify(pairs, f"more{step}")
-                if step == 0:
-                    more = checked
+                checked = self.verify(pairs, f"checked{step}")
+                done = done.unionByName(checked)
                 links = links.union(checked.where("linked").select("a", "b"))
-                labels = components(links, self.scratch, f"c{step + 2}")
+                labels = components(links, self.scratch, f"c{step}")
         return labels
 
 
