@@ -64,9 +64,12 @@ SLACK = 1.06
 #: The sample that shows which features are common: one text in so many, least
 #: count of a feature among them, and features kept. None of it changes the
 #: result, only the number of candidates.
+#: Followers are at most this far from their leader: the nearer they are, the
+#: less often a leader's pair leaves open whether followers link.
+BALL = 0.08
 #: Nodes of a signature group that a task compares with as many others.
 BLOCK = 512
-SAMPLE_EVERY, SAMPLE_COUNT, SAMPLE_FEATURES = 16, 3, 500_000
+SAMPLE_EVERY, SAMPLE_COUNT, SAMPLE_FEATURES = 8, 2, 500_000
 #: The bit of a signature that tells sets that need not meet each other there.
 MET = np.uint64(1 << 16)
 ROUTED = "key int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
@@ -108,7 +111,11 @@ def signatures(sets: np.ndarray, off: np.ndarray, hot: np.ndarray) -> tuple[np.n
     own, largest = band(size), size * DEN // NUM
     cold, cold_off = sets, off
     if len(hot):
-        keep = hot[np.minimum(np.searchsorted(hot, sets), len(hot) - 1)] != sets
+        gate = np.zeros(1 << 20, dtype=bool)
+        gate[(hot >> np.uint64(44)).astype(np.int64)] = True
+        keep = np.ones(len(sets), dtype=bool)
+        maybe = np.flatnonzero(gate[(sets >> np.uint64(44)).astype(np.int64)])
+        keep[maybe] = hot[np.minimum(np.searchsorted(hot, sets[maybe]), len(hot) - 1)] != sets[maybe]
         total = np.zeros(len(sets) + 1, dtype=np.int64)
         np.cumsum(keep, out=total[1:])
         cold, cold_off = sets[keep], total[off]
@@ -174,14 +181,14 @@ def _signed(sets, off, which, size, low, high, n, front, tag):
 
 
 def histogram(items: np.ndarray, size: int) -> bytes:
-    """Counts of a set's features over equal parts of the hash domain, about
-    four a part, one byte each."""
+    """Counts of a set's features over equal parts of the hash domain, one to
+    two a part, one byte each."""
     shift = histogram_bits(size)
     return np.minimum(np.bincount((items >> np.uint64(64 - shift)).astype(np.int64), minlength=1 << shift), 255).astype(np.uint8).tobytes()
 
 
 def histogram_bits(size: int) -> int:
-    return max(int(size).bit_length() - 2, 2)
+    return max(int(size).bit_length() - 1, 2)
 
 
 def least_distance(x: bytes, y: bytes, nx: int, ny: int) -> float:
@@ -273,7 +280,7 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int, hot: np.
         sig, owner = sig[both], owner[both]
         keep[1:] = ((sig[1:] ^ sig[:-1]) & ~MET != 0) | (owner[1:] != owner[:-1])
         sig, named = sig[keep], names[owner[keep]] if len(first) else names
-        bucket = ((sig & np.uint64(0xFFFFFFFF)) % np.uint64(len(keys))).astype(np.int64)
+        bucket = ((sig >> np.uint64(17)) % np.uint64(len(keys))).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
         yield [_signed_row(keys[k], sig[order[x:y]], named[order[x:y]]) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
@@ -324,7 +331,7 @@ def _leaders(sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, off: np.ndarr
             continue
         tried[s] = tried.get(s, 0) + 1
         common, union = jaccard_parts(sets[off[s] : off[s + 1]], sets[off[l] : off[l + 1]])
-        if DEN * common >= NUM * union and s not in followed:
+        if union - common <= BALL * union and s not in followed:
             lead[s], dist[s] = l, 1 - common / union
             followed.add(l)
     return lead, dist
