@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issq.operators.cluster import dense
+
 
 def reconcile(labels: DataFrame) -> DataFrame:
     """x, y, cell, nucleus with matching numbers 1..n, 0 elsewhere.
@@ -20,8 +22,8 @@ def reconcile(labels: DataFrame) -> DataFrame:
     best = overlap.groupBy("nucleus").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "cell")).alias("b")).select("nucleus", F.col("b.cell").alias("cell"), (-F.col("b.n")).alias("n"))
     scored = best.join(nuclei, "nucleus").join(cells, "cell").withColumn("score", F.col("n") / F.col("n_nucleus") + F.col("n") / F.col("n_cell"))
     kept = scored.groupBy("cell").agg(F.max(F.struct("score", "nucleus")).alias("b"), F.min("nucleus").alias("named")).select("cell", F.col("b.nucleus").alias("nucleus"), "named")
-    # As many rows as objects, far fewer than pixels.
-    pairs = kept.withColumn("number", F.row_number().over(Window.orderBy("named")))
+    numbers = dense(kept.select(F.col("cell").alias("read_id"), F.col("named").alias("label")))
+    pairs = kept.join(numbers.select(F.col("read_id").alias("cell"), (F.col("cluster") + 1).alias("number")), "cell")
     new_cell, new_nucleus = pairs.select("cell", F.col("number").alias("c")), pairs.select("nucleus", F.col("number").alias("m"))
     out = labels.join(new_cell, "cell", "left").join(new_nucleus, "nucleus", "left")
     return out.select("x", "y", F.coalesce("c", F.lit(0)).alias("cell"), F.coalesce("m", F.lit(0)).alias("nucleus"))
