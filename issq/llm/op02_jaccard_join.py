@@ -181,14 +181,16 @@ def _signed(sets, off, which, size, low, high, n, front, tag):
 
 
 def histogram(items: np.ndarray, size: int) -> bytes:
-    """Counts of a set's features over equal parts of the hash domain, one to
-    two a part, one byte each."""
+    """Counts of a set's features over equal parts of the hash domain, one byte
+    each: more parts than features for small sets, up to four features a part
+    for large ones."""
     shift = histogram_bits(size)
     return np.minimum(np.bincount((items >> np.uint64(64 - shift)).astype(np.int64), minlength=1 << shift), 255).astype(np.uint8).tobytes()
 
 
 def histogram_bits(size: int) -> int:
-    return max(int(size).bit_length() - 1, 2)
+    length = int(size).bit_length()
+    return max(min(length, 10), length - 2, 2)
 
 
 def least_distance(x: bytes, y: bytes, nx: int, ny: int) -> float:
@@ -446,7 +448,13 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Possible pairs of the rows of each group."""
+    """Possible pairs of the rows of each group, repeats left out as far as a
+    bounded memory goes."""
+    found = np.zeros((0, 2), dtype=np.int64)
+
+    def table(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
     for batch in batches:
         lists = batch.column(0)
         cuts, flat = lists.offsets.to_numpy(), lists.values
@@ -475,8 +483,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 q = q[2 * apart / (n[p] + n[q] + apart) <= room]
                 if len(q):
                     out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], axis=1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if out:
+            found = np.unique(np.concatenate([found, *out]), axis=0)
+        if len(found) > 1_000_000:
+            yield table(found)
+            found = found[:0]
+    yield table(found)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -520,16 +532,18 @@ class Join:
         rows = some.mapInArrow(_features, "x long").groupBy("x").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "x").limit(SAMPLE_FEATURES).collect()
         return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
 
-    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, linked, dist) of the node pairs that can link, or whose
-        followers can."""
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The node pairs that sizes and histograms leave possible, or that may
+        have followers that link."""
         facts = self.facts
         one = facts.select(F.col("node").alias("a"), F.col("histogram").alias("x"), F.col("n").alias("nx"), F.col("radius").alias("ra"))
         two = facts.select(F.col("node").alias("b"), F.col("histogram").alias("y"), F.col("n").alias("ny"), F.col("radius").alias("rb"))
         room = 1 - NUM / DEN + F.col("ra") + F.col("rb")
         near = pairs.select("a", "b").distinct().join(one, "a").join(two, "b").where(1 - F.least("nx", "ny") / F.greatest("nx", "ny") <= room + 1e-9)
-        near = near.select("a", "b", "x", "nx", "y", "ny", room.alias("room")).mapInArrow(_possible, "a long, b long")
-        pairs = self.scratch.table(near, f"{name}-pairs")
+        return near.select("a", "b", "x", "nx", "y", "ny", room.alias("room")).mapInArrow(_possible, "a long, b long")
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked, dist) of a written table of node pairs."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # One row of each node stands for it; its text gives the set again.
         chosen = self.members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id")).alias("m"))
@@ -541,7 +555,6 @@ class Join:
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
         out = self.scratch.table(both.mapInArrow(_verify, "a long, b long, linked boolean, dist double"), name)
         self.scratch.drop(f"{name}-sets")
-        self.scratch.drop(f"{name}-pairs")
         return out
 
     def followers(self, near: DataFrame, labels: DataFrame) -> DataFrame:
@@ -584,23 +597,31 @@ class Join:
 
     def solve(self) -> DataFrame:
         """(node, label) over all links."""
-        links = self.follow.select(F.col("leader").alias("a"), F.col("node").alias("b"))
-        done = self.verify(self.edges, "first")
-        links = links.union(done.where("linked").select("a", "b"))
+        done = self.verify(self.scratch.table(self.possible(self.edges), "first-pairs"), "first")
+        links = self.follow.select(F.col("leader").alias("a"), F.col("node").alias("b")).union(done.where("linked").select("a", "b"))
         labels = components(links, self.scratch, "c")
         for step, find in enumerate((lambda: self.rest_of_groups(labels), lambda: self.followers(done, labels))):
             pairs = self.scratch.table(find().join(done.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{step}")
             if pairs.limit(1).count():
                 checked = self.verify(pairs, f"checked{step}")
                 done = done.unionByName(checked)
-                links = links.union(checked.where("linked").select("a", "b"))
-                labels = components(links, self.scratch, f"c{step}")
+                labels = self.merged(labels, checked.where("linked"), f"c{step}")
         return labels
 
+    def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Labels after more links: only links between components count, once
+        for each two of them."""
+        ends = labelled(labelled(links.select("a", "b"), labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+        above = components(ends.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct(), self.scratch, name)
+        moved = labelled(labels, above, "label", "top").select("node", F.col("top").alias("label"))
+        fresh = above.join(labels.select("node"), "node", "left_anti")
+        return self.scratch.table(moved.unionByName(fresh), f"{name}-labels")
+
 
 def labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-    own = labels.select(F.col("node").alias(node), F.col("label").alias(name))
-    return df.join(own, node, "left").withColumn(name, F.coalesce(name, node))
+    own = labels.select(F.col("node").alias("node_"), F.col("label").alias("label_"))
+    found = df.join(own, F.col(node) == F.col("node_"), "left").withColumn("label_", F.coalesce("label_", node))
+    return found.drop("node_").withColumnRenamed("label_", name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
