@@ -456,13 +456,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        lists = batch.column(0)
+        lists, names = batch.column(0), batch.column(1).to_numpy()
         cuts, flat = lists.offsets.to_numpy(), lists.values
+        group_at, group_of = flat.field("groups").offsets.to_numpy(), flat.field("groups").values.to_numpy()
+        sets: dict[int, tuple[set, set]] = {}
+
+        def listed(i: int) -> tuple[set, set]:
+            """All groups of a row's node, and those where it is unmarked."""
+            if i not in sets:
+                own = group_of[group_at[i] : group_at[i + 1]]
+                sets[i] = set((own >> 1).tolist()), set((own[own & 1 == 0] >> 1).tolist())
+            return sets[i]
+
         side, node, label, n = (flat.field(c).to_numpy() for c in ("side", "node", "label", "n"))
         free, radius = flat.field("free").to_numpy(zero_copy_only=False), flat.field("radius").to_numpy()
         raw, at = tk.buffers(flat.field("histogram"))
         out = []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        for s, e, name in zip(cuts[:-1].tolist(), cuts[1:].tolist(), (names >> 1).tolist()):
             width = int((at[s + 1 : e + 1] - at[s:e]).min(initial=1 << 40)) if e > s else 0
             bars = np.zeros((e - s, max(width, 1)), dtype=np.int32)
             full = np.zeros(e - s, dtype=bool)
@@ -481,6 +491,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 apart = np.abs(bars[i] - bars[j]).sum(axis=1, dtype=np.int64) * ~(full[i] | full[j])
                 apart = np.maximum(apart, np.abs(n[p] - n[q]))
                 q = q[2 * apart / (n[p] + n[q] + apart) <= room]
+                if len(q):
+                    all_p, free_p = listed(p)
+                    q = q[[min((free_p & all_q) | (all_p & free_q)) == name for all_q, free_q in map(listed, q.tolist())]]
                 if len(q):
                     out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], axis=1))
         if out:
@@ -573,7 +586,7 @@ class Join:
         blocked = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(4)).cast("int"))
         blocked = blocked.withColumn("other", F.explode(F.array(*[F.lit(k) for k in range(4)])))
         lo, hi = F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))
-        return self._possible_pairs(blocked.select("g", lo.alias("lo"), hi.alias("hi"), "side", "node", "label", "free"), exact=True)
+        return self._possible_pairs(blocked.select("g", lo.alias("lo"), hi.alias("hi"), "side", "node", "label", "free", F.array(F.shiftleft(F.shiftrightunsigned("g", 1), 1)).alias("groups")), exact=True)
 
     def rest_of_groups(self, labels: DataFrame) -> DataFrame:
         """Possible pairs of one signature group in different components. Large
@@ -583,17 +596,22 @@ class Join:
         rows = rows.select("g", "last", "node", (F.col("at") < F.col("free")).alias("free"), (F.col("at") / BLOCK).cast("int").alias("block"))
         rows = labelled(rows, labels, "node", "label")
         mixed = rows.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g")
-        rows = rows.join(mixed, "g", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-        rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "free")
+        rows = self.scratch.table(rows.join(mixed, "g", "left_semi"), "mixed")
+        # A pair is listed by one group only: the least that holds both and has
+        # one of them unmarked. The lowest bit of a group's number marks.
+        number = F.shiftleft(F.shiftrightunsigned("g", 1), 1).bitwiseOR(F.when(F.col("free"), 0).otherwise(1).cast("long"))
+        held = rows.groupBy("node").agg(F.collect_set(number).alias("groups"))
+        rows = rows.join(held, "node").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "free", "groups")
         return self._possible_pairs(rows, exact=False)
 
     def _possible_pairs(self, rows: DataFrame, exact: bool) -> DataFrame:
         """Pairs of both sides of each (g, lo, hi), or within the side where it
         is the only one, that sizes and histograms leave possible."""
         facts = self.facts.select("node", "n", F.lit(0.0).alias("radius") if exact else F.col("radius"), "histogram")
-        item = F.struct("side", "node", "label", "free", "n", "radius", "histogram")
+        item = F.struct("side", "node", "label", "free", "n", "radius", "histogram", "groups")
         held = rows.join(facts, "node").groupBy("g", "lo", "hi").agg(F.collect_list(item).alias("rows"))
-        return held.select("rows").mapInArrow(_compare, "a long, b long").distinct()
+        return held.select("rows", "g").mapInArrow(_compare, "a long, b long").distinct()
 
     def solve(self) -> DataFrame:
         """(node, label) over all links."""
