@@ -69,6 +69,8 @@ SLACK = 1.06
 BALL = 0.08
 #: Nodes of a signature group that a task compares with as many others.
 BLOCK = 512
+#: Groups above this size do not list the pairs that another such group lists.
+BIG = 64
 SAMPLE_EVERY, SAMPLE_COUNT, SAMPLE_FEATURES = 8, 2, 500_000
 #: The bit of a signature that tells sets that need not meet each other there.
 MET = np.uint64(1 << 16)
@@ -462,7 +464,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[set, set]] = {}
 
         def listed(i: int) -> tuple[set, set]:
-            """All groups of a row's node, and those where it is unmarked."""
+            """All big groups of a row's node, and those where it is unmarked."""
             if i not in sets:
                 own = group_of[group_at[i] : group_at[i + 1]]
                 sets[i] = set((own >> 1).tolist()), set((own[own & 1 == 0] >> 1).tolist())
@@ -493,6 +495,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 q = q[2 * apart / (n[p] + n[q] + apart) <= room]
                 if len(q):
                     all_p, free_p = listed(p)
+                if len(q) and name in all_p:
                     q = q[[min((free_p & all_q) | (all_p & free_q)) == name for all_q, free_q in map(listed, q.tolist())]]
                 if len(q):
                     out.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], axis=1))
@@ -592,16 +595,16 @@ class Join:
         """Possible pairs of one signature group in different components. Large
         groups are cut in blocks, and blocks are compared by twos, so a task
         holds two of them however large a group is."""
-        rows = self.groups.select(F.xxhash64("nodes", "free").alias("g"), "free", ((F.size("nodes") - 1) / BLOCK).cast("int").alias("last"), F.posexplode("nodes").alias("at", "node"))
-        rows = rows.select("g", "last", "node", (F.col("at") < F.col("free")).alias("free"), (F.col("at") / BLOCK).cast("int").alias("block"))
+        rows = self.groups.select(F.xxhash64("nodes", "free").alias("g"), "free", (F.size("nodes") > BIG).alias("big"), ((F.size("nodes") - 1) / BLOCK).cast("int").alias("last"), F.posexplode("nodes").alias("at", "node"))
+        rows = rows.select("g", "big", "last", "node", (F.col("at") < F.col("free")).alias("free"), (F.col("at") / BLOCK).cast("int").alias("block"))
         rows = labelled(rows, labels, "node", "label")
         mixed = rows.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g")
         rows = self.scratch.table(rows.join(mixed, "g", "left_semi"), "mixed")
-        # A pair is listed by one group only: the least that holds both and has
+        # Of big groups, one only lists a pair: the least that holds both and has
         # one of them unmarked. The lowest bit of a group's number marks.
         number = F.shiftleft(F.shiftrightunsigned("g", 1), 1).bitwiseOR(F.when(F.col("free"), 0).otherwise(1).cast("long"))
-        held = rows.groupBy("node").agg(F.collect_set(number).alias("groups"))
-        rows = rows.join(held, "node").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        held = rows.where("big").groupBy("node").agg(F.collect_set(number).alias("groups"))
+        rows = rows.join(held, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<bigint>"))).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
         rows = rows.select("g", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "label", "free", "groups")
         return self._possible_pairs(rows, exact=False)
 
