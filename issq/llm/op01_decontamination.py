@@ -1,16 +1,19 @@
 """Benchmark decontamination with SimHash item windows.
 
 Every window as long as a benchmark item (in words) whose five-word shingles
-touch the item's is fingerprinted: 128 bits, each the sign of a weighted sum
-over the window's shingles. A multi-index over ``RADIUS`` + 1 blocks of bits
+touch the item's is fingerprinted: 128 bits, each the sign of a sum over the
+window's shingles, the k-th occurrence of a shingle having a hash of its own. A
+multi-index over ``RADIUS`` + 1 blocks of bits
 finds all item fingerprints within Hamming distance ``RADIUS`` (two
 fingerprints that near agree on a block at least). Candidates are verified by
 the exact weighted Jaccard similarity of their shingles, weights being how
 often a shingle occurs; 0.75 and more is a leak. Windows that share no shingle
 with the item have similarity 0 and need no fingerprint.
 
-At similarity 0.75 two fingerprints differ in 22 of 128 bits on average with a
-deviation of 4.3, so the radius of 40 lies four deviations out.
+As every occurrence is an element of weight 1, the weighted Jaccard similarity
+is the plain one of these elements, and shingles that repeat do not dominate
+the sums. At similarity 0.75 two fingerprints differ in 22 of 128 bits on
+average with a deviation of 4.3, so the radius of 40 lies four deviations out.
 
 Items are read in blocks of bounded size and sent to the workers; documents
 are scanned where they lie, without a shuffle.
@@ -50,6 +53,33 @@ def bit_signs(shingle: np.ndarray) -> np.ndarray:
     return np.hstack(halves) * 2 - 1
 
 
+def ranked(shingle: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A hash of its own for each occurrence of a shingle; the first keeps it."""
+    return np.where(rank > 0, tk.mix(shingle ^ tk.mix(rank.astype(np.uint64))), shingle)
+
+
+def window_sums(shingle: np.ndarray, width: int) -> np.ndarray:
+    """One row of ``BITS`` sums for each window of ``width`` shingles."""
+    n = len(shingle)
+    order = np.argsort(shingle, kind="stable")
+    same = np.cumsum(np.concatenate([[0], shingle[order][1:] != shingle[order][:-1]])) * (n + width + 1)
+    place, own = same + order, np.arange(n)
+    enter, leave = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    # Occurrences before it in the window it ends, behind it in the one it starts.
+    enter[order] = own - np.searchsorted(place, np.maximum(place - width + 1, same))
+    leave[order] = np.searchsorted(place, place + width) - own - 1
+    signs = bit_signs(ranked(shingle, enter))
+    came = np.zeros((n + 1, BITS), dtype=np.int32)
+    np.cumsum(signs, axis=0, out=came[1:])
+    went = came
+    other = np.flatnonzero(enter != leave)
+    if len(other):
+        signs[other] = bit_signs(ranked(shingle[other], leave[other]))
+        went = np.zeros((n + 1, BITS), dtype=np.int32)
+        np.cumsum(signs, axis=0, out=went[1:])
+    return came[width:] - went[: n - width + 1]
+
+
 class Items:
     """Fingerprints, shingle sets and block indexes by window length."""
 
@@ -60,7 +90,7 @@ class Items:
         self.ids = [i for i, n in zip(ids, np.diff(off)) if n]
         self.sets = [np.unique(sh[a:b], return_counts=True) for a, b in zip(off[:-1], off[1:]) if b > a]
         self.size = np.array([int(c.sum()) for _, c in self.sets], dtype=np.int64)
-        self.prints = np.array([bit_signs(k).T @ c > 0 for k, c in self.sets]).reshape(len(self.sets), BITS)
+        self.prints = np.array([bit_signs(ranked(np.repeat(k, c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c))).sum(axis=0) > 0 for k, c in self.sets]).reshape(len(self.sets), BITS)
         owner = np.repeat(np.arange(len(self.sets)), [len(k) for k, _ in self.sets])
         keys = np.concatenate([k for k, _ in self.sets]) if self.sets else np.zeros(0, dtype=np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -120,9 +150,7 @@ class Items:
                 some = starts[a : a + WINDOWS]
                 for run in np.split(some, np.flatnonzero(np.diff(some) > width) + 1):
                     base = int(run[0])
-                    total = np.zeros((int(run[-1]) + width - base + 1, BITS), dtype=np.int32)
-                    np.cumsum(bit_signs(shingle[base : int(run[-1]) + width]), axis=0, out=total[1:])
-                    prints = total[run - base + width] - total[run - base] > 0
+                    prints = window_sums(shingle[base : int(run[-1]) + width], width)[run - base] > 0
                     for w, k in zip(*(x.tolist() for x in self.near(prints, size))):
                         start = int(run[w])
                         s = self.similarity(shingle[start : start + width], k)

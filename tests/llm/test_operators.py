@@ -65,6 +65,30 @@ def test_leaks_equal_brute_force(spark, sf):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_leaks_of_repeated_shingles(spark):
+    docs, items = [], []
+    for k, (size, common, times) in enumerate([(70, 62, 8), (80, 72, 10), (90, 82, 10), (60, 54, 7)] * 3):
+        w = [f"w{k}x{j}" for j in range(size + 4)]
+        copy = w[: common + 4] + ["x"] * (times + 4)  # one shingle many times
+        items += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+        docs += [(2 * k, f"before it {k} " + " ".join(copy) + " and after"), (2 * k + 1, "before it " + " ".join(w) + f" {k} and after")]
+    got = op1.leaks(table(spark, docs), table(spark, items, "item_id long, text string")).collect()
+    want = H.leaks(docs, items)
+    assert len(want) > len(docs)
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_window_sums_equal_sums_of_each_window():
+    rng = np.random.default_rng(4)
+    for n, width in ((1, 1), (30, 1), (30, 7), (30, 30), (200, 50)):
+        sh = rng.integers(0, 9, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        got = op1.window_sums(sh, width)
+        assert got.shape == (n - width + 1, op1.BITS)
+        for s in range(len(got)):
+            rank = np.array([(sh[s:p] == sh[p]).sum() for p in range(s, s + width)])
+            assert (got[s] == op1.bit_signs(op1.ranked(sh[s : s + width], rank)).sum(axis=0)).all()
+
+
 def test_leaks_of_empty_tables(spark):
     items = table(spark, [(1, "one two three four five six")], "item_id long, text string")
     assert op1.leaks(table(spark, []), items).count() == 0
