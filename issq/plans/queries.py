@@ -365,7 +365,7 @@ def j10_mutual_nearest(spark, d):
 
 @query()
 def j11_constellations(spark, d):
-    return pairing.pair_constellations(_points(spark, d, 2, 0), _points(spark, d, 2, 1), 5, 5.0, 20).select("id_i", "id_j", r6("d"))
+    return pairing.pair_constellations(_points(spark, d, 2, 0), _points(spark, d, 2, 1), 10, 5.0, 100).select("id_i", "id_j", r6("d"))
 
 
 @query()
