@@ -71,3 +71,30 @@ def test_j11_equals_brute_force(spark, sf):
     want = brute_pairs(points(queries._points(spark, sf, 2, 0)), points(queries._points(spark, sf, 2, 1)))
     assert got.keys() == want.keys()
     assert all(got[i][0] == j and abs(got[i][1] - d) < 2e-6 for i, (j, d) in want.items())
+
+
+def brute_sets(sets, min_dots=2):
+    groups = []
+    for a in range(len(sets)):
+        found = [brute_pairs(sets[a], sets[b]) if b > a else {} for b in range(len(sets))]
+        fresh = []
+        for i in range(len(sets[a])):
+            row = {a: i} | {b: m[i][0] for b, m in enumerate(found) if i in m}
+            target = next((g for g in groups if any(g[b] == j for b, j in row.items())), None)
+            if target is None:
+                fresh.append([row.get(b, -1) for b in range(len(sets))])
+            for b, j in row.items() if target else ():
+                target[b] = j
+        groups += fresh
+    return sorted(tuple(g) for g in groups if sum(j != -1 for j in g) >= min_dots)
+
+
+def test_match_sets_by_constellations(spark):
+    sets = shifted(3)
+    got = pairing.match_sets([as_table(spark, p) for p in sets]).collect()
+    assert sorted((r.set_0, r.set_1, r.set_2) for r in got) == brute_sets(sets)
+
+
+def test_j13_equals_brute_force(spark, sf):
+    got = base_queries()["j13_match_sets"](spark, sf).collect()
+    assert sorted((r.set_0, r.set_1, r.set_2) for r in got) == brute_sets([points(queries._points(spark, sf, 3, k)) for k in range(3)])
