@@ -170,31 +170,76 @@ def blobs(plane: np.ndarray, low: float = 1.0, high: float = 2.0, steps: int = 7
     return np.stack([x, y, sigmas[k]], axis=1)
 
 
-def detect_dots(pixels: DataFrame, size: int = 512, halo: int = 24) -> DataFrame:
+def _highlighted(cube: np.ndarray) -> np.ndarray:
+    """``highlight`` of one cube of planes."""
+    part = np.sort(cube, axis=1)[:, -2:-1] if cube.shape[1] > 1 else 0
+    return np.maximum(cube - part, 0).std(axis=0).sum(axis=0)
+
+
+def detect_dots(pixels: DataFrame, size: int = 512, halo: int = 26) -> DataFrame:
     """x, y, sigma, values[cycle][channel] of the dots of an image.
 
-    Per tile with halo: blur is taken off every plane and planes are
-    standardised, the highlighted grey image is searched for blobs above its
-    mean, and intensities are read from the planes after a small dilation. The
-    mean and deviation are the tile's."""
-    ship(pixels.sparkSession)
+    Blur is taken off every plane and planes are standardised, the highlighted
+    grey image is searched for blobs above its mean, and intensities are read
+    from the planes after a small dilation. The work is done per tile with halo,
+    but the mean and deviation of the planes and the mean of the grey image are
+    the whole image's (pixels that are not given count as 0), each found by a
+    pass over the tiles, so dots do not depend on the tile size. The halo is the
+    reach of the two blurs (16 and 8), the Laplacian and the maximum."""
+    spark = pixels.sparkSession
+    ship(spark)
+    schema = "x double, y double, sigma double, values array<array<double>>"
+    ends = pixels.agg(*[f(c).cast("long") for c in ("x", "y") for f in (F.min, F.max)], F.max("cycle").cast("long"), F.max("channel").cast("long")).first()
+    if ends[0] is None:
+        return spark.createDataFrame([], schema)
+    low, high, planes = (ends[0], ends[2]), (ends[1], ends[3]), (ends[4] + 1, ends[5] + 1)
+    area = (high[0] - low[0] + 1) * (high[1] - low[1] + 1)
+
+    def load(df: pd.DataFrame) -> tuple[np.ndarray, tuple[int, int], tuple[slice, slice]]:
+        """The planes of a tile less their blur, the tile's first pixel, and
+        where its inner pixels are."""
+        tile = int(df.tile_x.iloc[0]), int(df.tile_y.iloc[0])
+        start = [max(t * size - halo, a) for t, a in zip(tile, low)]
+        stop = [min((t + 1) * size + halo, b + 1) for t, b in zip(tile, high)]
+        cube = np.zeros((*planes, stop[0] - start[0], stop[1] - start[1]))
+        cube[df.cycle, df.channel, (df.x - start[0]).astype(int), (df.y - start[1]).astype(int)] = df.v
+        for c in range(planes[0]):
+            for k in range(planes[1]):
+                cube[c, k] -= blur(cube[c, k], 4.0)
+        own = tuple(slice(max(t * size, a) - s, max(min((t + 1) * size, b + 1) - s, 0)) for t, a, b, s in zip(tile, low, high, start))
+        return cube, (start[0], start[1]), own
+
+    def plane_sums(df: pd.DataFrame) -> pd.DataFrame:
+        cube, _, own = load(df)
+        mine = cube[:, :, own[0], own[1]]
+        rows = [(c, k, float(mine[c, k].sum()), float((mine[c, k] ** 2).sum())) for c in range(planes[0]) for k in range(planes[1])]
+        return pd.DataFrame(rows, columns=["cycle", "channel", "total", "squares"])
+
+    tiled = tiles(pixels, size, halo).groupBy("tile_x", "tile_y")
+    sums = tiled.applyInPandas(plane_sums, "cycle long, channel long, total double, squares double").groupBy("cycle", "channel").agg(F.sum("total"), F.sum("squares")).collect()
+    mean, deviation = np.zeros((*planes, 1, 1)), np.zeros((*planes, 1, 1))
+    for c, k, total, squares in sums:
+        mean[c, k] = total / area
+        deviation[c, k] = max(max(squares / area - (total / area) ** 2, 0.0) ** 0.5, 1e-12)
+
+    def grey_sums(df: pd.DataFrame) -> pd.DataFrame:
+        cube, _, own = load(df)
+        mine = _highlighted((cube - mean) / deviation)[own]
+        return pd.DataFrame([(mine.size, float(mine.sum()))], columns=["n", "total"])
+
+    n, total = tiled.applyInPandas(grey_sums, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    threshold = (total + (area - n) * float(_highlighted(-mean / deviation)[0, 0])) / area
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         tx, ty = int(df.tile_x.iloc[0]), int(df.tile_y.iloc[0])
-        x0, y0 = df.x.min(), df.y.min()
-        cube = np.zeros((int(df.cycle.max()) + 1, int(df.channel.max()) + 1, int(df.x.max() - x0) + 1, int(df.y.max() - y0) + 1))
-        cube[df.cycle, df.channel, (df.x - x0).astype(int), (df.y - y0).astype(int)] = df.v
-        for c in range(cube.shape[0]):
-            for k in range(cube.shape[1]):
-                cube[c, k] = background_free(cube[c, k])
-        part = np.sort(cube, axis=1)[:, -2:-1] if cube.shape[1] > 1 else 0
-        grey = np.maximum(cube - part, 0).std(axis=0).sum(axis=0)
-        found = blobs(grey, threshold=float(grey.mean()))
-        wide = np.stack([[dilate(p, disk(2)) for p in planes] for planes in cube])
+        cube, (x0, y0), _ = load(df)
+        cube = (cube - mean) / deviation
+        found = blobs(_highlighted(cube), threshold=threshold)
+        wide = np.stack([[dilate(p, disk(2)) for p in each] for each in cube])
         rows = []
         for x, y, s in found:
             if (x + x0) // size == tx and (y + y0) // size == ty:
                 rows.append((float(x + x0), float(y + y0), float(s), wide[:, :, int(x), int(y)].tolist()))
         return pd.DataFrame(rows, columns=["x", "y", "sigma", "values"])
 
-    return tiles(pixels, size, halo).groupBy("tile_x", "tile_y").applyInPandas(run, "x double, y double, sigma double, values array<array<double>>")
+    return tiled.applyInPandas(run, schema)
