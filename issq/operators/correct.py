@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from issq.operators.image import blur, gaussian_weights, tiles
+from issq.session import ship
 
 #: A sample dye response, dyes G, T, A, C by channels (fixed values).
 EXAMPLE_DYES = [
@@ -52,14 +57,42 @@ def dye_matrix(pixels: DataFrame, bins: int = 8) -> DataFrame:
     return own.unionByName(crosstalk(pixels, bins).withColumnRenamed("crosstalk", "response"))
 
 
-def background(stack: DataFrame, layer: str, pixel: list[str], value: str = "v", percent: float = 0.05) -> DataFrame:
-    """Per layer and pixel: the percentile over images, over the layer's
-    largest (before any blur)."""
+def background_levels(stack: DataFrame, layer: str, pixel: list[str], value: str = "v", percent: float = 0.05) -> DataFrame:
+    """Per layer and pixel: the percentile over images, truncated where values
+    are integers, over the layer's largest."""
+    kind = stack.schema[value].dataType
     low = stack.groupBy(layer, *pixel).agg(F.percentile(value, percent).alias("low"))
+    if isinstance(kind, IntegralType):
+        low = low.withColumn("low", F.col("low").cast(kind))
     top = low.groupBy(layer).agg(F.max("low").alias("top"))
     return low.join(top, layer).select(layer, *pixel, (F.col("low") / F.col("top")).alias("background"))
 
 
+def background(stack: DataFrame, layer: str, pixel: list[str], value: str = "v", percent: float = 0.05, sigma: float = 8.0, size: int = 512) -> DataFrame:
+    """``background_levels`` after a Gaussian over each layer, in tiles with
+    halo. Pixels (one or two columns) that are not given count as 0."""
+    ship(stack.sparkSession)
+    kinds = {c: stack.schema[c].dataType for c in (layer, *pixel)}
+    at = [F.col(c).cast("long") for c in pixel] + [F.lit(0).cast("long")] * (2 - len(pixel))
+    levels = background_levels(stack, layer, pixel, value, percent)
+    ends = stack.agg(F.min(at[0]), F.min(at[1]), F.max(at[0]), F.max(at[1])).first()
+    low, high, halo = ends[:2], ends[2:], len(gaussian_weights(sigma)) // 2
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        tile = int(df.tile_x.iloc[0]), int(df.tile_y.iloc[0])
+        start = [max(t * size - halo, a) for t, a in zip(tile, low)]
+        stop = [min((t + 1) * size + halo, b + 1) for t, b in zip(tile, high)]
+        plane = np.zeros((stop[0] - start[0], stop[1] - start[1]))
+        here = df.x.to_numpy() - start[0], df.y.to_numpy() - start[1]
+        plane[here] = df.background
+        own = (df.x // size == tile[0]) & (df.y // size == tile[1])
+        return df.assign(background=blur(plane, sigma)[here])[own][["layer", "x", "y", "background"]]
+
+    tiled = tiles(levels.select(F.col(layer).alias("layer"), at[0].alias("x"), at[1].alias("y"), "background"), size, halo)
+    out = tiled.groupBy("layer", "tile_x", "tile_y").applyInPandas(run, f"layer {kinds[layer].simpleString()}, x long, y long, background double")
+    return out.select(F.col("layer").alias(layer), *[F.col(c).cast(kinds[p]).alias(p) for c, p in zip("xy", pixel)], "background")
+
+
 def illumination(stack: DataFrame, back: DataFrame, keys: list[str], value: str = "v", limits: tuple[int, int] | None = None) -> DataFrame:
     """Values over the background; integer images are clipped to their limits
     and truncated."""

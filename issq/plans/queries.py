@@ -565,17 +565,33 @@ _BACK = "WITH l AS (SELECT event_type AS layer, user_id AS x, quantile_cont(valu
 
 @query(_BACK + "SELECT layer, x, round(background, 6) AS background FROM b")
 def i13_background(spark, d):
-    return correct.background(derived.stack(spark, d), "layer", ["x"]).select("layer", "x", r6("background"))
+    """The part before the blur."""
+    return correct.background_levels(derived.stack(spark, d), "layer", ["x"]).select("layer", "x", r6("background"))
 
 
 @query(_BACK + "SELECT layer, x, sum(CAST(trunc(least(greatest(value / background, 0), 65535)) AS BIGINT))::BIGINT AS total, count(*) AS n FROM events e JOIN b ON b.layer = e.event_type AND b.x = e.user_id WHERE background > 0 GROUP BY ALL")
 def i14_illumination(spark, d):
+    """With the background before the blur."""
     s = derived.stack(spark, d)
-    back = correct.background(s, "layer", ["x"]).where("background > 0")
-    out = correct.illumination(s, back, ["layer", "x"], limits=(0, 65535))
+    return _corrected(s, correct.background_levels(s, "layer", ["x"]))
+
+
+def _corrected(stack, back):
+    out = correct.illumination(stack, back.where("background > 0"), ["layer", "x"], limits=(0, 65535))
     return out.groupBy("layer", "x").agg(F.sum("corrected").alias("total"), F.count("*").alias("n"))
 
 
+@query()
+def i13_background_blurred(spark, d):
+    return correct.background(derived.stack(spark, d), "layer", ["x"]).select("layer", "x", r6("background"))
+
+
+@query()
+def i14_illumination_blurred(spark, d):
+    s = derived.stack(spark, d)
+    return _corrected(s, correct.background(s, "layer", ["x"]))
+
+
 @query(f"WITH {S.PIXELS} SELECT cycle, x, round(v, 6) AS v FROM px WHERE channel = 3")
 def i18_cytoplasm(spark, d):
     return derived.pixels(spark, d).where("channel = 3").select(F.col("cycle").cast("long").alias("cycle"), "x", r6("v"))
