@@ -389,13 +389,19 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     scratch.drop("counts")
     ids = routed.where(F.col("kind") == IDS)
     # Numbers first: sorting whole blocks would send some from every task.
-    first = [r["block"] for r in ids.select("block").orderBy("block").limit(SAMPLE_BLOCKS).collect()]
+    first = start_blocks(ids)
     sample = [_read_ids(r.asDict()) for r in ids.where(F.col("block").isin(first)).orderBy("block").collect()]
     params = train(ids, sample, lex, states, rounds, keys)
     known = spark.sparkContext.broadcast(params)
     return routed.groupBy("block").applyInArrow(lambda t: _final(t, shared.value, known.value), SCORES)
 
 
+def start_blocks(ids: DataFrame, n: int = SAMPLE_BLOCKS) -> list[int]:
+    """Numbers of the blocks that training starts on: by hash, so that they come
+    from the whole table, as low numbers are all of the first partition."""
+    return [r["block"] for r in ids.select("block").orderBy(F.xxhash64("block"), "block").limit(n).collect()]
+
+
 def train(ids: DataFrame, sample: list, lex: Lexicon, states: int, rounds: int, keys: list[int]) -> hmm.Params:
     floor = lex.floor()
     kept = [_only(i, o, f[:, 2] == 0) for i, o, f in sample]

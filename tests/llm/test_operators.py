@@ -412,3 +412,11 @@ def test_no_nulls_kernel_bounds():
 
     texts = pa.array(["a" * 10, "", "b c", "d" * 3_000_000])
     assert [b for _, b in tk.pieces(texts, 12)] == [2, 3, 4]
+
+
+def test_start_blocks_come_from_the_whole_table(spark):
+    ids = table(spark, [((p << 32) + k,) for p in range(32) for k in range(16)], "block long")
+    got = op8.start_blocks(ids)
+    assert len(set(got)) == op8.SAMPLE_BLOCKS
+    assert len({b >> 32 for b in got}) > 1 and max(got) >> 32 > 7
+    assert got == op8.start_blocks(ids.repartition(7))
