@@ -4,8 +4,9 @@ Many voters look at a document: fixed insult and pattern voters, and lexicon
 voters whose entries (words and word beginnings) are mined from the labelled
 rows. A generative label model (EM) estimates each voter's class-conditional
 accuracy and the voters' residual correlations, which discount voters that
-repeat each other; the given label is one more voter. A linear classifier is
-then trained on the posterior labels, and scores every document.
+repeat each other; the given label is two more voters. A linear classifier is
+then trained on targets that are half the posterior and half the given label
+(so the voters soften labels but flip none), and scores every document.
 
 Inputs of a score: the text only. Defined results: null or blank text scores
 as a text without words (the classifier's intercept); without any usable
