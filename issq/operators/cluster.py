@@ -10,28 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issq.functions import calling
-from issq.session import checkpointed as _cut
+from issq.operators.components import components
+from issq.scratch import Scratch, even_join
+from issq.scratch import checkpointed as _cut
 from issq.session import ship
 
-#: Reads of one component that one task may agglomerate; more is an error
-#: rather than a silent approximation.
-LARGEST_COMPONENT = 200_000
+#: Edges of a component that one task agglomerates. Larger components first
+#: lose edges in rounds of merges on tables (``_merge_round``).
+TASK_EDGES = 500_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """read_id, label: components of the edges (i, j), by the smallest member.
-    Minimum labels with pointer jumping; one count a round reaches the driver."""
-    both = edges.select("i", "j").union(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
-    labels = both.groupBy("i").agg(F.min("j").alias("m")).select(F.col("i").alias("v"), F.least("i", "m").alias("label"))
-    labels = _cut(labels)
-    while True:
-        near = both.join(labels.select(F.col("v").alias("j"), "label"), "j").groupBy(F.col("i").alias("v")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "v", "left").select("v", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("mid"))
-        up = labels.select(F.col("v").alias("mid"), F.col("label").alias("up"))
-        new = _cut(low.join(up, "mid", "left").select("v", "old", F.least("mid", F.coalesce("up", "mid")).alias("label")))
-        labels = new.select("v", "label")
-        if not new.where("old <> label").limit(1).count():
-            return labels.select(F.col("v").alias("read_id"), "label")
+    """read_id, label: components of the edges (i, j), by the smallest member."""
+    found = components(edges.select(F.col("i").alias("a"), F.col("j").alias("b")), Scratch(edges.sparkSession, "connected"), "c")
+    return found.select(F.col("node").alias("read_id"), "label")
 
 
 def dense(labels: DataFrame) -> DataFrame:
@@ -53,11 +45,14 @@ def forest(reads: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """linkage 'min': the parent of j is the greatest i < j within the
     threshold, the cluster is the tree. Pointer doubling, then dense numbers."""
     parents = edges.where(F.col("dist") <= threshold).groupBy(F.col("j").alias("read_id")).agg(F.max("i").alias("parent"))
-    p = _cut(reads.select("read_id").join(parents, "read_id", "left").select("read_id", F.coalesce("parent", "read_id").alias("label")))
+    scratch, step = Scratch(reads.sparkSession, "forest"), 0
+    p = scratch.table(reads.select("read_id").join(parents, "read_id", "left").select("read_id", F.coalesce("parent", "read_id").alias("label")), "p0")
     while True:
         up = p.select(F.col("read_id").alias("label"), F.col("label").alias("above"))
-        new = _cut(p.join(up, "label").select("read_id", F.col("label").alias("old"), F.col("above").alias("label")))
+        step += 1
+        new = scratch.table(even_join(p, up, "label").select("read_id", F.col("label").alias("old"), F.col("above").alias("label")), f"p{step}")
         p = new.select("read_id", "label")
+        scratch.drop(f"p{step - 1}")
         if not new.where("old <> label").limit(1).count():
             return dense(p)
 
@@ -102,20 +97,23 @@ class Heap:
         return len(self._entry)
 
 
-def agglomerate(edges: list[tuple[int, int, float]], threshold: float, linkage: str) -> dict[int, int]:
-    """Sparse threshold agglomeration: the closest pair merges while within the
-    threshold, the lower id survives, and a neighbour stays linked only if it
-    was linked to both parts ('mean': size-weighted, 'max': the larger)."""
+def agglomerate(edges: list[tuple[int, int, float, int, int]], threshold: float, linkage: str) -> dict[int, int]:
+    """Sparse threshold agglomeration: the closest pair (of equally close ones
+    the first by lower, then higher id) merges while within the threshold, the
+    lower id survives, and a neighbour stays linked only if it was linked to
+    both parts ('mean': size-weighted, 'max': the larger). Edges: i, j,
+    distance and, where they are clusters already, the sizes of both."""
     near: dict[int, dict[int, float]] = {}
+    size: dict[int, int] = {}
     heap = Heap()
-    for i, j, d in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+    for i, j, d, *sizes in edges:
         near.setdefault(i, {})[j] = d
         near.setdefault(j, {})[i] = d
-        heap.push((i, j), d)
-    size = dict.fromkeys(near, 1)
+        size[i], size[j] = sizes or (1, 1)
+        heap.push((i, j), (d, i, j))
     parent = {v: v for v in near}
     while len(heap):
-        (a, b), d = heap.pop()
+        (a, b), (d, _, _) = heap.pop()
         if d > threshold:
             break
         parent[b] = a
@@ -131,7 +129,8 @@ def agglomerate(edges: list[tuple[int, int, float]], threshold: float, linkage:
         del near[b]
         for v, dv in new.items():
             near[v][a] = dv
-            heap.push((min(a, v), max(a, v)), dv)
+            pair = min(a, v), max(a, v)
+            heap.push(pair, (dv, *pair))
     out = {}
     for v in parent:
         r = v
@@ -141,24 +140,76 @@ def agglomerate(edges: list[tuple[int, int, float]], threshold: float, linkage:
     return out
 
 
-def hierarchical(reads: DataFrame, edges: DataFrame, threshold: float, linkage: str = "mean") -> DataFrame:
+def _merge_round(edges: DataFrame, threshold: float, linkage: str) -> tuple[DataFrame, DataFrame]:
+    """(merges: v, p; plan of the edges left) of one round in which all pairs
+    merge that are each other's closest. Both linkages are reducible (a merge
+    never brings a third cluster nearer than the nearer of its parts), and pairs
+    are ordered by (distance, i, j) throughout, so such a pair merges in the
+    order of closest pairs as well, whatever merges before it elsewhere."""
+    key = F.struct("dist", "i", "j")
+    ends = edges.select(F.col("i").alias("v"), key.alias("k")).unionAll(edges.select(F.col("j"), key))
+    best = ends.groupBy("v").agg(F.min("k").alias("k")).where(F.col("k.dist") <= threshold)
+    pairs = best.groupBy("k").agg(F.count("*").alias("n")).where("n = 2")
+    merges = _cut(pairs.select(F.col("k.j").alias("v"), F.col("k.i").alias("p")))
+    doubled = merges.select("v", "p", F.lit(2).alias("parts")).unionAll(merges.select(F.col("p"), F.col("p"), F.lit(2)))
+    moved = edges
+    for c in ("i", "j"):
+        own = doubled.select(F.col("v").alias(c), F.col("p").alias(f"p_{c}"), F.col("parts").alias(f"parts_{c}"))
+        moved = moved.join(own, c, "left").withColumn(f"p_{c}", F.coalesce(f"p_{c}", c)).withColumn(f"parts_{c}", F.coalesce(f"parts_{c}", F.lit(1)))
+    # A pair of clusters is left if all pairs of their parts are; each part's
+    # size then counts once for every part of the other side.
+    weight = F.col("n_i") * F.col("n_j")
+    dist = F.sum(F.col("dist") * weight) / F.sum(weight) if linkage == "mean" else F.max("dist")
+    low, high = F.least("p_i", "p_j").alias("i"), F.greatest("p_i", "p_j").alias("j")
+    turned = F.col("p_i") > F.col("p_j")
+    sides = moved.where("p_i <> p_j").select(
+        low, high, "dist", "n_i", "n_j", F.when(turned, F.col("n_j")).otherwise(F.col("n_i")).alias("low_n"), F.when(turned, F.col("n_i")).otherwise(F.col("n_j")).alias("high_n"),
+        F.when(turned, F.col("parts_j")).otherwise(F.col("parts_i")).alias("low_parts"), F.when(turned, F.col("parts_i")).otherwise(F.col("parts_j")).alias("high_parts"),
+    )
+    grouped = sides.groupBy("i", "j").agg(
+        dist.alias("dist"), F.count("*").alias("n"), F.max("low_parts").alias("a"), F.max("high_parts").alias("b"), F.sum("low_n").alias("sn"), F.sum("high_n").alias("tn"),
+    ).where(F.col("n") == F.col("a") * F.col("b"))
+    return merges, grouped.select("i", "j", "dist", (F.col("sn") / F.col("b")).cast("long").alias("n_i"), (F.col("tn") / F.col("a")).cast("long").alias("n_j"))
+
+
+def hierarchical(reads: DataFrame, edges: DataFrame, threshold: float, linkage: str = "mean", task_edges: int | None = None) -> DataFrame:
     """read_id, cluster. Reads that no chain of edges within the threshold
     connects can never merge, so each such component is clustered by itself, on
-    all its edges (longer ones feed the averages)."""
+    all its edges (longer ones feed the averages). Components with more than
+    ``task_edges`` edges merge closest pairs on tables, round by round, until
+    what is left of them falls apart into components that a task can finish."""
     ship(reads.sparkSession)
-    near = edges.where(F.col("dist") <= threshold)
-    labels = _cut(connected(near))
-    one, two = labels.select(F.col("read_id").alias("i"), F.col("label").alias("c")), labels.select(F.col("read_id").alias("j"), F.col("label").alias("c"))
-    tagged = edges.join(one, "i").join(two, ["j", "c"])
+    most = TASK_EDGES if task_edges is None else task_edges
+    scratch, step = Scratch(reads.sparkSession, "hac"), 0
+    one = F.lit(1).cast("long")
+    todo = scratch.table(edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("double").alias("dist"), one.alias("n_i"), one.alias("n_j")), "edges0")
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        if len(np.unique(np.concatenate([df.i, df.j]))) > LARGEST_COMPONENT:
-            raise ValueError("a component is too dense to agglomerate; lower the threshold")
-        got = agglomerate(list(zip(df.i.tolist(), df.j.tolist(), df.dist.tolist())), threshold, linkage)
-        return pd.DataFrame({"read_id": list(got), "label": list(got.values())})
+        got = agglomerate(list(zip(df.i.tolist(), df.j.tolist(), df.dist.tolist(), df.n_i.tolist(), df.n_j.tolist())), threshold, linkage)
+        return pd.DataFrame({"v": list(got), "p": list(got.values())})
 
-    merged = tagged.select("c", "i", "j", "dist").groupBy("c").applyInPandas(run, "read_id long, label long")
-    return dense(reads.select("read_id").join(merged, "read_id", "left").select("read_id", F.coalesce("label", "read_id").alias("label")))
+    moves: list[DataFrame] = []  # in the order they happen; a read moves along all
+    while True:
+        labels = connected(todo.where(F.col("dist") <= threshold))
+        both = labels.select(F.col("read_id").alias("i"), F.col("label").alias("c")), labels.select(F.col("read_id").alias("j"), F.col("label").alias("c"))
+        tagged = scratch.table(todo.join(both[0], "i").join(both[1], ["j", "c"]), f"tagged{step}")
+        large = tagged.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") > most).select("c")
+        small = tagged.join(large, "c", "left_anti").select("c", "i", "j", "dist", "n_i", "n_j")
+        moves.append(scratch.table(small.groupBy("c").applyInPandas(run, "v long, p long"), f"done{step}"))
+        large = scratch.table(tagged.join(large, "c", "left_semi").drop("c"), f"large{step}")
+        scratch.drop(f"tagged{step}")
+        if not large.limit(1).count():
+            break
+        step += 1
+        merges, rest = _merge_round(large, threshold, linkage)
+        moves.append(merges)
+        todo = scratch.table(rest, f"edges{step}")
+    found = reads.select("read_id", F.col("read_id").alias("label"))
+    for k, move in enumerate(moves):
+        found = found.join(move.select(F.col("v").alias("label"), "p"), "label", "left").select("read_id", F.coalesce("p", "label").alias("label"))
+        if k % 8 == 7:
+            found = scratch.table(found, f"found{k}")
+    return dense(scratch.table(found, "found"))
 
 
 def unique_reads(reads: DataFrame, key: str = "cell") -> DataFrame:

@@ -28,28 +28,18 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package: they can where PYTHONPATH or
-    the working folder has it; elsewhere Spark sends them a zip file."""
+    """Let Python workers import this package. Workers of a local master can
+    where PYTHONPATH or the working folder has it; to all others, whose paths
+    the driver does not know, Spark sends a zip file."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
-    paths = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(ROOT) in paths or (spark.sparkContext.master.startswith("local[") and os.path.realpath(os.getcwd()) == str(ROOT)):
+    paths = [os.path.realpath(p) for p in [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()] if p]
+    if spark.sparkContext.master.startswith("local[") and str(ROOT) in paths:
         return
     target = Path(tempfile.mkdtemp(prefix="issq-")) / "issq.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted((ROOT / "issq").rglob("*.py")):
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
-
-
-def checkpointed(df):
-    """``df`` with its lineage cut, in the folder of spark.checkpoint.dir; only
-    a local session without that setting gets a temporary folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="issq-"))
-    return df.checkpoint(eager=True)

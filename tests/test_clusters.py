@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,16 +45,41 @@ def test_radius_join_equals_brute_force(spark):
     assert got == {(i, j) for i in range(150) for j in range(i + 1, 150) if near(points[i], points[j])}
 
 
-def test_component_wise_equals_whole(spark):
+def plain_agglomeration(edges, n, threshold, linkage):
+    """From the definition, over all members: clusters are linked where all
+    pairs of their members are; the closest linked ones merge."""
+    d = {(i, j): x for i, j, x in edges}
+    clusters = {k: [k] for k in range(n)}
+    far = lambda x: sum(x) / len(x) if linkage == "mean" else max(x)
+    while True:
+        best = None
+        for a in clusters:
+            for b in clusters:
+                if a < b:
+                    cross = [d.get((min(p, q), max(p, q))) for p in clusters[a] for q in clusters[b]]
+                    if None not in cross and far(cross) <= threshold:
+                        best = min(best or (np.inf,), (far(cross), a, b))
+        if best is None:
+            return {m: a for a, members in clusters.items() for m in members}
+        clusters[best[1]] += clusters.pop(best[2])
+
+
+@pytest.mark.parametrize("linkage", ["mean", "max"])
+@pytest.mark.parametrize("ties", [False, True])
+def test_agglomeration_equals_the_definition(spark, linkage, ties):
     rnd = random.Random(2)
-    edges = [(i, j, round(rnd.random(), 3)) for i in range(40) for j in range(i + 1, 40) if rnd.random() < 0.12]
-    reads = reads_of(spark, [(0, 0)] * 40)
-    table = spark.createDataFrame(edges, "i long, j long, dist double")
-    for linkage in ("mean", "max"):
-        whole = cluster.agglomerate(edges, 0.5, linkage)
-        got = {r.read_id: r.cluster for r in cluster.hierarchical(reads, table, 0.5, linkage).collect()}
-        same = {(a, b) for a in whole for b in whole if whole[a] == whole[b]}
-        assert same == {(a, b) for a in whole for b in whole if got[a] == got[b]}
+    n = 40
+    draw = (lambda: float(rnd.randrange(1, 9))) if ties else (lambda: rnd.random() * 9)
+    edges = [(i, j, draw()) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.35]
+    if ties and linkage == "mean":  # sums of powers of two stay exact
+        edges = [(i, j, 2.0 ** (x % 3)) for i, j, x in edges]
+    want = plain_agglomeration(edges, n, 4.0, linkage)
+    assert 5 < len(set(want.values())) < n - 5
+    reads, table = reads_of(spark, [(0, 0)] * n), spark.createDataFrame(edges, "i long, j long, dist double")
+    rank = {root: k for k, root in enumerate(sorted(set(want.values())))}
+    for most in (None, 30):  # one task a component, and rounds of merges first
+        got = {r.read_id: r.cluster for r in cluster.hierarchical(reads, table, 4.0, linkage, most).collect()}
+        assert got == {v: rank[root] for v, root in want.items()}
 
 
 def test_heap():
