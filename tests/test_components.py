@@ -43,7 +43,7 @@ def star(n):
 
 @pytest.mark.parametrize("edges", [path(20_000, 1), grid(150, 2), star(3000)], ids=["path", "grid", "star"])
 def test_rounds_are_few(spark, monkeypatch, edges):
-    monkeypatch.setattr(C, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(C, "LOCAL_EDGES", 40)
     rounds = []
     table = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.label for r in C.components(table, Scratch(spark, "t"), "c", rounds).collect()}
