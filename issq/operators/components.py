@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issq.scratch import Scratch, even_join
@@ -66,11 +66,8 @@ def _moved(edges: DataFrame, turn: int) -> DataFrame:
 def _carried(edges: DataFrame, moves: DataFrame) -> DataFrame:
     """The edges between the nodes that their ends moved to."""
     to = lambda c, name: moves.select(F.col("v").alias(c), F.col("p").alias(name))
-    return _proper(edges.join(to("a", "x"), "a").join(to("b", "y"), "b"), F.col("x"), F.col("y"))
-
-
-def _proper(edges: DataFrame, a: Column, b: Column) -> DataFrame:
-    return edges.where(a != b).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    met = edges.join(to("a", "x"), "a").join(to("b", "y"), "b").where("x <> y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str, rounds: list[int] | None = None) -> DataFrame:
@@ -80,15 +77,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: list[int]
     each round."""
     spark = edges.sparkSession
     ship(spark)
-    known = edges.where("a is not null and b is not null").select("a", "b")
-    alone = known.where("a = b").select(F.col("a").alias("node")).distinct()
-    todo = scratch.table(_proper(known, F.col("a"), F.col("b")), f"{name}-edges-0")
+    a, b = F.col("a"), F.col("b")
+    known = edges.where(a.isNotNull() & b.isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    known = scratch.table(known, f"{name}-edges")
+    alone, todo = known.where("a = b").select(a.alias("node")), known.where("a <> b")
     left, levels, turn = todo.count(), [], 0
     while left > LOCAL_EDGES:
         moves = scratch.table(_moved(todo, turn), f"{name}-moves-{turn}")
         levels.append(moves)
         todo = scratch.table(_carried(todo, moves), f"{name}-edges-{turn + 1}")
-        scratch.drop(f"{name}-edges-{turn}")
+        if turn:
+            scratch.drop(f"{name}-edges-{turn}")
         left, turn = todo.count(), turn + 1
         if rounds is not None:
             rounds.append(left)
@@ -101,8 +100,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: list[int]
     if levels:  # what a component ended at need not be its smallest node
         least = found.groupBy("p").agg(F.min("v").alias("q"))
         found = scratch.table(even_join(found, least, "p").select("v", F.least("q", "p").alias("p")), f"{name}-labels")
-    for k in range(turn + 1):
-        scratch.drop(f"{name}-edges-{k}")
+    if turn:
+        scratch.drop(f"{name}-edges-{turn}")
     out = found.select(F.col("v").alias("node"), F.col("p").alias("label"))
     single = alone.join(out, "node", "left_anti")
     return out.unionByName(single.select("node", F.col("node").alias("label")))
