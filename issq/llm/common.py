@@ -1,81 +1,28 @@
-"""Scratch tables, session limits and row keys shared by the operators."""
+"""Session limits, row keys and tables shared by the operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from issq.scratch import Scratch, even_join, shared_dir  # noqa: F401
 from issq.session import ship
 
 #: Records in one Arrow batch sent to a Python worker. Texts can be long, and
 #: a batch is held in memory whole, so this is far below Spark's default.
 ARROW_RECORDS = 512
 
-_own_dirs: dict[str, str] = {}
-
 
 def session_limits(spark: SparkSession) -> None:
     """Bound what one Python worker holds: small Arrow batches, limited by
     bytes as well where the Spark version knows that setting. Also makes sure
-    that workers can import this package."""
+    that workers can import this package. The settings stay in the session, as
+    results are lazy and planned with them when they are asked for."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_RECORDS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its
-    own; on a cluster a missing setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="issq-"))
-    return f"{base.rstrip('/')}/issq-{app}"
-
-
-class Scratch:
-    """Written tables that cut lineage. They live in the shared folder, so a
-    lost executor costs nothing that was finished before."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)  # results are lazy: what is left goes with the session
-
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def table(self, df: DataFrame, name: str, codec: str = "snappy", partition_by: str | None = None) -> DataFrame:
-        """Write ``df`` once, free its shuffle files, and read it back."""
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, "false")
-        self.spark.conf.set(key, "true")
-        try:
-            writer = df.write.mode("overwrite").option("compression", codec)
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(f"{self.root}/{name}")
-        finally:
-            self.spark.conf.set(key, before)
-        schema = df.schema
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        self._fs.delete(self._path(name), True)
-
-
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -36,11 +36,15 @@ or inside one component already.
 Defined results: null, empty and blank texts have no shingles and link with
 nothing (equal ones neither); with fewer than five words the whole sequence is
 one shingle; rows with equal sets are linked, also when ids repeat; null ids
-are the last choice for component_id; an empty table gives no rows.
+are the last choice for component_id; an empty table gives no rows. Texts of any
+length are whole sets (a very long one is a block of its own). Other columns of
+the input are not read, so their names may clash with the result's; a result
+column gets a trailing underscore where the id column has its name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -51,8 +55,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from issq.llm import textkernel as tk
-from issq.llm.common import Scratch, even_keys, parts, session_limits
-from issq.llm.components import components
+from issq.llm.common import Scratch, even_join, even_keys, free_name, parts, session_limits
+from issq.operators.components import components
 
 #: Similarity threshold NUM / DEN; k(a, b) below follows from it.
 NUM, DEN = 3, 4
@@ -61,9 +65,6 @@ BLOCK_BYTES = 8 << 20
 FINE = 32
 #: Fronts are this much longer than a set without left-out features needs.
 SLACK = 1.06
-#: The sample that shows which features are common: one text in so many, least
-#: count of a feature among them, and features kept. None of it changes the
-#: result, only the number of candidates.
 #: Followers are at most this far from their leader: the nearer they are, the
 #: less often a leader's pair leaves open whether followers link.
 BALL = 0.08
@@ -71,7 +72,14 @@ BALL = 0.08
 BLOCK = 512
 #: Groups above this size do not list the pairs that another such group lists.
 BIG = 64
-SAMPLE_EVERY, SAMPLE_COUNT, SAMPLE_FEATURES = 8, 2, 500_000
+#: The sample that shows which features are common: texts in it (expected, by
+#: hash), least count of a feature among them, and features kept. None of it
+#: changes the result, only the number of candidates.
+SAMPLE_TEXTS, SAMPLE_COUNT, SAMPLE_FEATURES = 20_000, 2, 250_000
+#: Parts of a bucket, sorted by Spark and read one after the other.
+TURNS = 16
+#: Nodes of a signature group in one row; larger groups are several rows.
+CHUNK = 4096
 #: The bit of a signature that tells sets that need not meet each other there.
 MET = np.uint64(1 << 16)
 ROUTED = "key int, kind int, n long, a binary, b binary, c binary, d binary, e binary"
@@ -284,10 +292,11 @@ def _sign_block(held: list[pa.RecordBatch], keys: list[int], turn: int, hot: np.
         sig, owner = sig[both], owner[both]
         keep[1:] = ((sig[1:] ^ sig[:-1]) & ~MET != 0) | (owner[1:] != owner[:-1])
         sig, named = sig[keep], names[owner[keep]] if len(first) else names
-        bucket = ((sig >> np.uint64(17)) % np.uint64(len(keys))).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(len(keys) + 1))
-        yield [_signed_row(keys[k], sig[order[x:y]], named[order[x:y]]) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+        # Bucket and turn of a signature in one number.
+        place = ((sig >> np.uint64(17)) % np.uint64(len(keys) * TURNS)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(len(keys) * TURNS + 1))
+        yield [_signed_row(keys[k // TURNS], k % TURNS, sig[order[x:y]], named[order[x:y]]) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
 
 
 def _histograms(sets: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -295,13 +304,13 @@ def _histograms(sets: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
     return b"".join(all_), np.array([len(h) for h in all_], dtype=np.int64)
 
 
-def _signed_row(key: int, sig: np.ndarray, node: np.ndarray) -> tuple:
+def _signed_row(key: int, turn: int, sig: np.ndarray, node: np.ndarray) -> tuple:
     """Sorted signatures as six byte planes of their upper 48 bits (enough
     beside the bucket: chance collisions are verified away), and the nodes by
     number in a list."""
     planes = (sig >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T
     names, number = np.unique(node, return_inverse=True)
-    return key, SIGN, len(sig), planes, number.astype("<u2" if len(names) <= 65536 else "<u4"), names
+    return key, SIGN, turn, planes, number.astype("<u2" if len(names) <= 65536 else "<u4"), names
 
 
 def _read_signed(r: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -342,19 +351,29 @@ def _leaders(sig: np.ndarray, owner: np.ndarray, sets: np.ndarray, off: np.ndarr
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sigs, nodes = [], []
+    """Rows come sorted by kind and turn; the signatures of one turn are held."""
+    sigs, nodes, turn = [], [], -1
     for batch in batches:
         kinds = batch.column(1).to_numpy()
         if (kinds == MEMBER).any():
             yield batch.filter(pa.array(kinds == MEMBER))
-        for r in batch.filter(pa.array(kinds == SIGN)).select(["a", "b", "c"]).to_pylist():
+        for r in batch.filter(pa.array(kinds == SIGN)).select(["n", "a", "b", "c"]).to_pylist():
+            if r["n"] != turn:
+                yield from _met(sigs, nodes)
+                sigs, nodes, turn = [], [], r["n"]
             sig, node = _read_signed(r)
             sigs.append(sig)
             nodes.append(node)
+    yield from _met(sigs, nodes)
+
+
+def _met(sigs: list[np.ndarray], nodes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each group's first node with the others, and larger groups."""
     if not sigs:
         return
     sig, node = np.concatenate(sigs), np.concatenate(nodes)
-    del sigs, nodes
+    sigs.clear()
+    nodes.clear()
     met, sig = (sig & np.uint64(1)).astype(bool), sig >> np.uint64(1)
     order = np.argsort(sig)
     sig, node, met = sig[order], node[order], met[order]
@@ -382,20 +401,22 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = np.stack([np.minimum(pivot, node)[other], np.maximum(pivot, node)[other]], axis=1)
     edges = np.unique(pairs, axis=0)
     yield _batch([(0, EDGE, len(edges), edges[:, 0], edges[:, 1])])
-    # Larger groups, each list of nodes once; how many of it are unmarked.
-    seen, lists = set(), []
+    # Larger groups, each list of nodes once, named by its hash, in chunks: how
+    # many of it are unmarked, its size, and where the chunk starts.
+    seen, rows = set(), []
     free = np.add.reduceat(~met, head)
     big = useful & (sizes > 2)
     for h, n, f in zip(head[big].tolist(), sizes[big].tolist(), free[big].tolist()):
-        data = node[h : h + n].tobytes()
-        if (data, f) not in seen:
-            seen.add((data, f))
-            lists.append((0, GROUP, f, data))
-            if len(lists) == 1000:
-                yield _batch(lists)
-                lists = []
-    if lists:
-        yield _batch(lists)
+        name = hashlib.blake2b(node[h : h + n].tobytes() + f.to_bytes(8, "little"), digest_size=8).digest()
+        if name not in seen:
+            seen.add(name)
+            for at in range(0, n, CHUNK):
+                rows.append((0, GROUP, f, node[h + at : h + min(at + CHUNK, n)], name, np.array([n, at], dtype=np.int64)))
+            if len(rows) >= 1000:
+                yield _batch(rows)
+                rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,8 +440,11 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = batch.to_pylist()
-        out = [np.frombuffer(r["a"], dtype=np.int64) for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([r["n"] for r in rows], pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["free", "nodes"])
+        facts = np.array([np.frombuffer(r["c"], dtype=np.int64) for r in rows]).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([int.from_bytes(r["b"], "little", signed=True) for r in rows], pa.int64()), pa.array([r["n"] for r in rows], pa.int64()),
+            pa.array(facts[:, 0]), pa.array(facts[:, 1]), pa.array([np.frombuffer(r["a"], dtype=np.int64) for r in rows], pa.list_(pa.int64())),
+        ], names=["g", "free", "size", "start", "nodes"])
 
 
 def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -528,13 +552,13 @@ class Join:
         n = parts(self.spark)
         keys = even_keys(self.spark, n)
         hot = self._common()
-        routed = self.docs.mapInArrow(lambda it: _sign(it, keys, hot), ROUTED).repartition(n, "key").mapInArrow(_group, ROUTED)
+        routed = self.docs.mapInArrow(lambda it: _sign(it, keys, hot), ROUTED).repartition(n, "key").sortWithinPartitions("kind", "n").mapInArrow(_group, ROUTED)
         routed = self.scratch.table(routed, "routed")
         of = lambda kind: routed.where(F.col("kind") == kind)
         self.members = of(MEMBER).mapInArrow(_members, "doc_id long, node long, n long, leader long, dist double, histogram binary")
         self.members = self.scratch.table(self.members, "members")
         self.edges = self.scratch.table(of(EDGE).select("a", "b").mapInArrow(_edges, "a long, b long").distinct(), "edges")
-        self.groups = self.scratch.table(of(GROUP).select("n", "a").mapInArrow(_lists, "free long, nodes array<long>").distinct(), "groups")
+        self.groups = self.scratch.table(of(GROUP).select("n", "a", "b", "c").mapInArrow(_lists, "g long, free long, size long, start long, nodes array<long>").dropDuplicates(["g", "start"]), "groups")
         self.scratch.drop("routed")
         self.follow = self.members.where("node <> leader").select("leader", "node", "dist").distinct()
         self.balls = self.follow.groupBy("leader").agg(F.max("dist").alias("radius"))
@@ -544,9 +568,10 @@ class Join:
 
     def _common(self) -> np.ndarray:
         """Features that many texts of a bounded sample share, sorted."""
-        some = self.docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_EVERY)) == 0).select("text").distinct()
-        rows = some.mapInArrow(_features, "x long").groupBy("x").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "x").limit(SAMPLE_FEATURES).collect()
-        return np.sort(np.array([r["x"] for r in rows], dtype=np.int64).view(np.uint64))
+        every = self.docs.count() // SAMPLE_TEXTS + 1
+        some = self.docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+        top = some.mapInArrow(_features, "x long").groupBy("x").count().where(F.col("count") >= SAMPLE_COUNT).orderBy(F.desc("count"), "x").limit(SAMPLE_FEATURES)
+        return np.sort(top.select("x").toArrow().column(0).to_numpy().view(np.uint64))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The node pairs that sizes and histograms leave possible, or that may
@@ -595,13 +620,15 @@ class Join:
         """Possible pairs of one signature group in different components. Large
         groups are cut in blocks, and blocks are compared by twos, so a task
         holds two of them however large a group is."""
-        rows = self.groups.select(F.xxhash64("nodes", "free").alias("g"), "free", (F.size("nodes") > BIG).alias("big"), ((F.size("nodes") - 1) / BLOCK).cast("int").alias("last"), F.posexplode("nodes").alias("at", "node"))
-        rows = rows.select("g", "big", "last", "node", (F.col("at") < F.col("free")).alias("free"), (F.col("at") / BLOCK).cast("int").alias("block"))
+        rows = self.groups.select("g", "free", (F.col("size") > BIG).alias("big"), ((F.col("size") - 1) / BLOCK).cast("int").alias("last"), "start", F.posexplode("nodes").alias("pos", "node"))
+        at = F.col("start") + F.col("pos")
+        rows = rows.select("g", "big", "last", "node", (at < F.col("free")).alias("free"), (at / BLOCK).cast("int").alias("block"))
         rows = labelled(rows, labels, "node", "label")
         mixed = rows.groupBy("g").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("g")
         rows = self.scratch.table(rows.join(mixed, "g", "left_semi"), "mixed")
         # Of big groups, one only lists a pair: the least that holds both and has
-        # one of them unmarked. The lowest bit of a group's number marks.
+        # one of them unmarked. The lowest bit of a group's number marks. A node
+        # is in no more groups than it has signatures, a few for each shingle.
         number = F.shiftleft(F.shiftrightunsigned("g", 1), 1).bitwiseOR(F.when(F.col("free"), 0).otherwise(1).cast("long"))
         held = rows.where("big").groupBy("node").agg(F.collect_set(number).alias("groups"))
         rows = rows.join(held, "node", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<bigint>"))).withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
@@ -648,15 +675,23 @@ def labelled(df: DataFrame, labels: DataFrame, node: str, name: str) -> DataFram
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row (see the docstring)."""
     join = Join(docs, id_col, text_col)
-    rows = labelled(join.members, join.solve(), "node", "label")
+    scratch = join.scratch
+    # Equal texts are one node and a family one label: both can be hot keys.
+    labels = join.solve().select("node", "label")
+    rows = even_join(join.members.select("doc_id", "node", "n"), labels, "node", "left")
+    rows = scratch.table(rows.select("doc_id", "n", F.coalesce("label", "node").alias("label")), "labelled")
     least = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = rows.join(least.withColumnRenamed("label", "l"), (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    out = even_join(rows, least, "label", "left").withColumn("least", F.when(F.col("n") > 0, F.col("least")))
+    names: list[str] = []
+    for c in ("n_shingles", "component_id"):
+        names.append(free_name([id_col] + names, c))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias(names[0]), F.coalesce("least", "doc_id").alias(names[1]))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is their component's smallest; all columns
     kept. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    dropped = found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("gone_")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("gone_"), "left_anti")
+    found = near_duplicates(docs, id_col, text_col).toDF("id", "n", "least")
+    gone = free_name(docs.columns, "gone")
+    dropped = found.where("id <> least").select(F.col("id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(f"`{id_col}`") == F.col(f"`{gone}`"), "left_anti")
