@@ -1,18 +1,22 @@
 """Toxicity by weak supervision.
 
 Many voters look at a document: fixed insult and pattern voters, and lexicon
-voters whose entries (words and word beginnings) are mined from the labelled
-rows. A generative label model (EM) estimates each voter's class-conditional
-accuracy and the voters' residual correlations, which discount voters that
-repeat each other; the given label is two more voters. A linear classifier is
-then trained on targets that are half the posterior and half the given label
-(so the voters soften labels but flip none), and scores every document.
+voters, two for each kind of feature (whole words, and word beginnings of four
+lengths). A generative label model (EM) estimates each voter's
+class-conditional accuracy and the voters' residual correlations, which
+discount voters that repeat each other. A linear classifier is then trained on
+the posterior labels alone and scores every document. The given labels are no
+voter and no target: they serve to mine the lexicons' entries and cuts, and the
+share of toxic rows that the label model starts from.
 
 Inputs of a score: the text only. Defined results: null or blank text scores
 as a text without words (the classifier's intercept); without any usable
 labels every document scores 0 by the fixed voters' absence of evidence, i.e.
 the share of toxic rows is taken as 0.1 and only the fixed insult voter counts.
-Ids may be null or repeat; an empty table gives an empty result.
+Texts of any length are read whole, in fitting as well. Ids may be null or
+repeat; an empty table gives an empty result. Other columns are not read, so
+their names may clash; a result column gets a trailing underscore where the id
+column has its name.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 
 from issq.llm import textkernel as tk
 from issq.llm.common import held_out, session_limits
-from issq.llm.labelled import labelled_sample, sigmoid
+from issq.llm.labelled import judged, labelled_sample, sigmoid
 
 #: General insults in English, a voter that needs no labels (fixed values).
 INSULTS = ["idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown"]
@@ -36,8 +40,10 @@ FEATURES = 1500
 #: Labelled rows that the voters and the classifier are fitted on, at most.
 MAX_ROWS = 4000
 MIN_DOCS = 3
-#: Lexicon voters: entries taken from the mined list, by rank.
-LEXICONS = ((0, 25), (25, 100), (100, 300), (300, 700), (700, 1500))
+#: Lexicon voters of each kind of feature: entries by rank among that kind.
+LEXICONS = ((0, 40), (40, 400))
+#: Share of the rows labelled 0 that a lexicon voter must not call toxic.
+CLEAN = 0.99
 PUNCT = np.zeros(256, dtype=bool)
 PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
@@ -148,7 +154,7 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
     fixed = tk.words_of(pa.array([" ".join(INSULTS)]))[4] ^ np.uint64(0x51ED270B)
     if not len(y) or y.min() == y.max():
         return Model(fixed, np.full(len(fixed), 4.0), np.log(0.1 / 0.9))
-    n, found = len(y), []
+    n, found, kinds = len(y), [], {}
     parts = [(a, texts.slice(a, b - a)) for a, b in tk.pieces(texts)]
     # Mining: mean dampened density by class, against its spread; one kind of
     # feature at a time, and piece by piece, to bound the memory.
@@ -171,7 +177,8 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
         var = sq / n - ((s1 + s0) / n) ** 2
         strength = np.where((docs_with >= MIN_DOCS) & (m1 > m0), (m1 - m0) / np.sqrt(var + 1e-4) * np.sqrt(n), 0)
         keep = np.argsort(-strength)[:n_features]
-        found += [(strength[i], key[i], m1[i], m0[i]) for i in keep if strength[i] > 0]
+        found += [(strength[i], key[i]) for i in keep if strength[i] > 0]
+        kinds |= dict.fromkeys(key[keep].tolist(), k)
         del keys_, docs_, values_, key, f, d, v
     found.sort(key=lambda x: (-x[0], x[1]))
     seen, ranked = set(), []
@@ -179,7 +186,7 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
         if item[1] not in seen:
             seen.add(item[1])
             ranked.append(item)
-    ranked = [(np.inf, k, 0.0, 0.0) for k in fixed] + [x for x in ranked if x[1] not in set(fixed.tolist())]
+    ranked = [(np.inf, k) for k in fixed] + [x for x in ranked if x[1] not in set(fixed.tolist())]
     ranked = ranked[:n_features]
     keys = np.array([x[1] for x in ranked], dtype=np.uint64)
     rank = {k: r for r, k in enumerate(keys.tolist())}
@@ -199,17 +206,17 @@ def train(sample: pa.Table, n_features: int = FEATURES) -> Model:
     votes.append(np.where(hits > 0, 1, -1))
     votes.append(np.where(marks > 0.01, 1, -1))
     votes.append(np.where(capital > 0.3, 1, -1))
-    for lo, hi in LEXICONS:
-        inside = (order[c] >= lo) & (order[c] < hi)
-        amount = np.bincount(d[inside], weights=v[inside], minlength=n)
-        if amount.max() > 0:
-            # the two cuts that fit the labelled rows: above high votes 1, below low votes 0
-            high = np.quantile(amount[y == 0], 0.98)
-            low = np.quantile(amount[y == 0], 0.6)
-            votes.append(np.where(amount > high, 1, np.where(amount <= low, 0, -1)))
-    votes += [y, y]  # the given label, twice: it outweighs a pair of agreeing voters
-    posterior, _, _ = label_model(np.stack(votes, axis=1), float(y.mean()))
-    target = 0.5 * posterior + 0.5 * y
+    kind = np.array([kinds.get(k, 0) for k in model.keys.tolist()])
+    for k in range(len(HEADS)):
+        own = np.argsort(np.where(kind == k, order, len(keys)))[: (kind == k).sum()]  # features of this kind by rank
+        for lo, hi in LEXICONS:
+            chosen = np.zeros(len(keys), dtype=bool)
+            chosen[own[lo:hi]] = True
+            inside = chosen[c]
+            amount = np.bincount(d[inside], weights=v[inside], minlength=n)
+            if amount.max() > 0:
+                votes.append(np.where(amount > np.quantile(amount[y == 0], CLEAN), 1, np.where(amount <= 0, 0, -1)))
+    target, _, _ = label_model(np.stack(votes, axis=1), float(y.mean()))
     weights, bias = fit_sparse(d, c, v, len(keys), target, start=np.where(np.isin(model.keys, fixed), 2.0, 0.0))
     return Model(model.keys, weights, bias)
 
@@ -246,7 +253,7 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     session_limits(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(lambda it: _score(it, model), f"id {df.schema[id_col].dataType.simpleString()}, score double")
-    return out.select(F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return judged(out, id_col, held_out("id", 5, 0))
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model: Model, text_col: str) -> Iterator[pa.RecordBatch]:

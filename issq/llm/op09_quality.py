@@ -11,8 +11,11 @@ a good document are good; of a bad one those are bad that the current node
 model takes for bad, at least its worst line.
 
 Inputs of a score: the text only. Defined results: null, empty and blank texts
-have one empty line; without labels of both kinds the score is 0.5. Ids may be
-null or repeat; an empty table gives an empty result.
+have one empty line; without labels of both kinds the score is 0.5. Texts of any
+length are read whole, in fitting as well. Ids may be null or repeat; an empty
+table gives an empty result. Other columns are not read, so their names may
+clash; a result column gets a trailing underscore where the id column has its
+name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from issq.llm import textkernel as tk
 from issq.llm.common import held_out, session_limits
-from issq.llm.labelled import MAX_ROWS, fit_logistic, labelled_sample, sigmoid
+from issq.llm.labelled import MAX_ROWS, fit_logistic, judged, labelled_sample, sigmoid
 
 _CLASS = np.zeros(256, dtype=np.int8)  # 0 other
 for _b in range(256):
@@ -222,4 +225,4 @@ def quality(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     session_limits(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     out = rows.mapInArrow(lambda it: _score(it, model), f"id {df.schema[id_col].dataType.simpleString()}, score double")
-    return out.select(F.col("id").alias(id_col), held_out("id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return judged(out, id_col, held_out("id", 3, 1))

@@ -269,6 +269,40 @@ def test_classifiers_on_hard_rows(spark):
     assert op9.quality(empty, op9.fit(empty, none)).count() == op5.toxicity(empty, op5.fit(empty, none)).count() == 0
 
 
+def test_toxicity_is_trained_on_posteriors_only(monkeypatch):
+    """What the classifier is fitted to is the label model's posterior, and no
+    voter is the given label."""
+    rnd = random.Random(5)
+    words_ = [f"word{k}" for k in range(200)]
+    y = [int(rnd.random() < 0.3) for _ in range(400)]
+    texts = [" ".join(rnd.choices(words_, k=40) + (rnd.choices(["idiot", "badword", "worseword"], k=3) if t else [])) for t in y]
+    seen = {}
+    model_, fit_ = op5.label_model, op5.fit_sparse
+    monkeypatch.setattr(op5, "label_model", lambda votes, prior: seen.update(votes=votes, out=model_(votes, prior)) or seen["out"])
+    monkeypatch.setattr(op5, "fit_sparse", lambda d, c, v, n, target, start: seen.update(target=target) or fit_(d, c, v, n, target, start))
+    flipped = list(y)
+    wrong = [k for k in range(400) if y[k]][:2]
+    for k in wrong:
+        flipped[k] = 0  # labels that the texts contradict
+    model = op5.train(pa.table({"text": texts, "y": flipped}))
+    assert (seen["target"] == seen["out"][0]).all()
+    assert not any((seen["votes"][:, k] == flipped).all() for k in range(seen["votes"].shape[1]))
+    assert (seen["target"][wrong] > 0.5).all()
+    assert ((model.score(pa.array(texts)) >= 0.5) == (np.array(y) == 1)).mean() > 0.95
+
+
+def test_long_and_null_texts_are_fitted_too(spark):
+    docs = table(spark, [(1, "a " * 30_000), (2, None), (2, "b"), (3, "c"), (4, "d")])
+    labels = table(spark, [(k, 1, 1) for k in range(1, 5)], "doc_id long, quality int, toxic int")
+    from issq.llm.labelled import labelled_sample
+
+    got = labelled_sample(docs, labels, "toxic", 10**6, 10**6 - 1)
+    assert sorted((r["doc_id"], len(r["text"])) for r in got.to_pylist()) == [(1, 60_000), (2, 0), (2, 1), (3, 1), (4, 1)]
+    few = labelled_sample(docs, labels, "toxic", 10**6, 10**6 - 1, max_bytes=2)
+    assert [(r["doc_id"], r["text"]) for r in few.to_pylist()] == [(r["doc_id"], r["text"]) for r in got.to_pylist()][: few.num_rows]
+    assert labelled_sample(docs, labels, "toxic", 10**6, 10**6 - 1, max_rows=3).num_rows == 3
+
+
 def test_label_model_finds_better_voters():
     rnd = np.random.default_rng(0)
     y = rnd.random(4000) < 0.3
