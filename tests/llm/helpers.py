@@ -51,11 +51,13 @@ def components(rows):
 
 
 def leaks(rows, items):
-    out = {}
+    out, wanted = {}, [(k, Counter(shingles(it))) for k, it in items]
     for d, t in rows:
         own = shingles(t)
-        for k, it in items:
-            want = Counter(shingles(it))
+        some = set(own)
+        for k, want in wanted:
+            if not some & want.keys():
+                continue  # similarity 0
             size = sum(want.values())
             width = min(size, len(own))
             best = 0

@@ -78,6 +78,78 @@ def test_leaks_of_repeated_shingles(spark):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
 
 
+def edited(rnd, words_, share, repeats):
+    """A passage in which a run, single words or (repeats) runs of one word
+    take the place of some."""
+    w = list(words_)
+    n = max(1, int(len(w) * share * rnd.random()))
+    if rnd.random() < 0.5:
+        at = rnd.randrange(len(w) - n + 1)
+        w[at : at + n] = [f"n{rnd.random()}"] * (n + rnd.randrange(3)) if repeats else [f"n{rnd.random()}" for _ in range(n)]
+    else:
+        for _ in range(max(1, n // 5)):
+            w[rnd.randrange(len(w))] = w[0] if repeats else f"n{rnd.random()}"
+    return w
+
+
+def leak_recall(n, repeats, seed=11):
+    """(pairs with exact similarity >= 0.75, those found, unrelated windows that
+    pass the block index) of random items and edited copies."""
+    rnd, want, got, passed = random.Random(seed), 0, 0, []
+    others = op1.Items(list(range(40)), [" ".join(f"o{k}x{j}" for j in range(60)) for k in range(40)])
+    for k in range(n):
+        size = rnd.choice([1, 3, 5, 6, 8, 9, 11, 12, 16, 20, 30, 45, 64, 100, 108, 200])
+        few = rnd.choice([6, 20]) if repeats and rnd.random() < 0.5 else 0
+        item = [f"v{rnd.randrange(few)}" for _ in range(size)] if few else [f"i{k}x{j}" for j in range(size)]
+        text = ["a"] * rnd.randrange(3) + edited(rnd, item, 0.18, repeats) + ["b"] * rnd.randrange(3)
+        index = op1.Items([k], [" ".join(item)])
+        sh = np.array([x for x in _shingle_hashes(" ".join(text))], dtype=np.uint64)
+        exact = H.leaks([(0, " ".join(text))], [(k, " ".join(item))])
+        want += len(exact)
+        found = index.leaks(sh)
+        got += len(found)
+        assert {round(s, 9) for _, s, *_ in found} <= {round(v, 9) for v in exact.values()}
+        if len(sh) >= 56:
+            blocks = op1.in_blocks(op1.window_sums(sh, 56)[:1] > 0)
+            passed += [bool(others.near(blocks, i)[0]) for i in range(40)]
+    return want, got, float(np.mean(passed))
+
+
+def _shingle_hashes(text):
+    from issq.llm import textkernel as tk
+
+    _, _, _, at, words = tk.words_of(pa.array([text]))
+    return tk.shingles(words, at)[0]
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_leaks_are_not_lost_and_the_index_prunes(repeats):
+    want, got, passed = leak_recall(600, repeats)
+    assert want > 120 and got == want
+    assert passed < 0.05
+
+
+def test_runs_of_one_word_in_long_items():
+    """A window of an item's first words and then one word repeated."""
+    for first in range(86, 93):
+        for run in (5, 9, 13, 17):
+            item = [f"w{j}" for j in range(104)]
+            text = item[:first] + ["x"] * run
+            exact = H.leaks([(0, " ".join(text))], [(1, " ".join(item))])
+            found = op1.Items([1], [" ".join(item)]).leaks(_shingle_hashes(" ".join(text)))
+            assert [round(s, 9) for _, s, *_ in found] == [round(v, 9) for v in exact.values()]
+
+
+def test_leaks_of_items_in_several_blocks(spark, sf, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    whole = op1.leaks(docs, items).collect()
+    kept = sorted(r.doc_id for r in op1.without_leaks(docs, items).select("doc_id").collect())
+    monkeypatch.setattr(op1, "ITEM_BYTES", 3000)
+    assert len(op1.item_blocks(items, "item_id", "text")) > 2
+    assert sorted(op1.leaks(docs, items).collect()) == sorted(whole) and whole
+    assert sorted(r.doc_id for r in op1.without_leaks(docs, items).select("doc_id").collect()) == kept
+
+
 def test_window_sums_equal_sums_of_each_window():
     rng = np.random.default_rng(4)
     for n, width in ((1, 1), (30, 1), (30, 7), (30, 30), (200, 50)):
@@ -275,7 +347,7 @@ def test_toxicity_is_trained_on_posteriors_only(monkeypatch):
     rnd = random.Random(5)
     words_ = [f"word{k}" for k in range(200)]
     y = [int(rnd.random() < 0.3) for _ in range(400)]
-    texts = [" ".join(rnd.choices(words_, k=40) + (rnd.choices(["idiot", "badword", "worseword"], k=3) if t else [])) for t in y]
+    texts = [" ".join(rnd.choices(words_, k=40) + (rnd.choices(["idiot", "badword", "worseword", "nastyword"], k=8) if t else [])) for t in y]
     seen = {}
     model_, fit_ = op5.label_model, op5.fit_sparse
     monkeypatch.setattr(op5, "label_model", lambda votes, prior: seen.update(votes=votes, out=model_(votes, prior)) or seen["out"])
