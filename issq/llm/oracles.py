@@ -33,7 +33,15 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.com/en/7', 'example.net/de/8') THEN 'allow'
   WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[^a-z0-9])(casino|bets|poker|pills|viagra|porn|xxx|track|ads|phishing|warez)([^a-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])(casino|bets|poker|jackpot|roulette|pills|viagra|cialis|porn|xxx|escort|camgirls|track|tracker|ads|adserver|adservice|doubleclick|phishing|malware|warez|keygen)([^a-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(path, '/(ads|adverts)/') THEN 'block'
+  WHEN regexp_matches(path, '(^|[^A-Za-z0-9])banner[-_][0-9]{2,4}x[0-9]{2,4}([^A-Za-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])payday-loans?([^a-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])online-pharmacy([^a-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(host, '(^|[^a-z0-9])paypal-') THEN 'block'
+  WHEN path LIKE '%/wp-login.php' OR path LIKE '%.exe' THEN 'block'
+  WHEN regexp_matches(host, '^[0-9]{1,3}([.][0-9]{1,3}){3}(:[0-9]+)?$') THEN 'block'
+  WHEN regexp_matches(host, '[a-z0-9](-[a-z0-9]+){4}') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM r
 """
