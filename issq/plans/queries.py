@@ -84,9 +84,11 @@ def s6_groups_from_table(spark, d):
     return back.select("grp", F.col("j").cast("long").alias("j"), "xpos", "read")
 
 
-@query()
+@query(f"WITH {S.CALLED} SELECT x, y, array_to_string(bases, '') AS read, cell, cnt AS count, " + ", ".join(
+    f"round(vals[{c + 1}][{k + 1}], 6) AS cycle{c:02}_{n}" for c in range(CYCLES) for k, n in enumerate("GTAC")) + " FROM called")
 def s7_read_table(spark, d):
-    return tables.read_table(derived.reads(spark, d), CYCLES, ["cell", "count"])
+    nested = tables.read_table(derived.reads(spark, d), CYCLES, ["cell", "count"])
+    return nested.select("position.x", "position.y", "read", "cell", "count", *[r6(f"values.cycle{c:02}.{n}", f"cycle{c:02}_{n}") for c in range(CYCLES) for n in "GTAC"])
 
 
 _RAGGED = f"WITH {S.EMB}, r AS (SELECT read_id, list_transform(vals[1 : 1 + read_id % 3], lambda w: list_max(w)) AS q FROM emb)"

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -131,3 +132,42 @@ def test_image_files(spark, tmp_path):
     assert all(r.width == 4 and r.height == 6 for r in rows)
     assert sorted(r.v[0] for r in rows) == [0.0, 0.0, 1.0]
     assert images.headers(spark, str(tmp_path)).count() == 2
+
+
+def test_blocked_matching_equals_plain(spark):
+    """Near entries come from segments, far ones from the whole library; both
+    equal a plain search, ties and counts included."""
+    rng = random.Random(5)
+    bits = lambda a, b: sum((a >> 2 * k) & 3 != (b >> 2 * k) & 3 for k in range(6))
+    lib = [(n // 2, n % 2, rng.randrange(4**6)) for n in range(60)] + [(30, 0, 7)]
+    reads = []
+    for e in range(60):
+        row = rng.randrange(30)
+        for o in range(rng.randrange(1, 4)):
+            code = lib[2 * row + o % 2][2] ^ (rng.choice([0, 0, 1, 3 << 4, 5 << 6]))
+            reads.append((e, o, rng.randrange(0, 4), code if e % 5 else rng.randrange(4**6)))
+    r, t = spark.createDataFrame(reads, "entry long, ord long, count long, packed long"), spark.createDataFrame(lib, "lib_id long, slot int, packed long")
+    want_near, want_match = {}, {0: {}, 2: {}}
+    for e in range(60):
+        mine, used = [x for x in reads if x[0] == e], [x for x in reads if x[0] == e and x[2] > 0]
+        d = {n: sum(min(bits(x[3], c) for x in mine) for _, _, c in lib[2 * n : 2 * n + 2]) for n in range(30)}
+        low = min(d.values())
+        hit = [n for n in d if d[n] == low]
+        want_near[e] = (hit[0] if len(hit) == 1 else None, low)
+        for m in want_match:
+            cost = lambda x, c: (min(bits(x[3], c), 1) if m == 0 else bits(x[3], c)) + 1 / (x[2] + 1)  # noqa: B023, E731
+            if len(used) < 2:
+                want_match[m][e] = (None, None)
+                continue
+            order = sorted((sum(min(cost(x, c) for x in used) for _, _, c in lib[2 * n : 2 * n + 2]), n) for n in range(30))
+            bad = order[0][0] >= m + 1 or order[1][0] - order[0][0] < 1e-5
+            want_match[m][e] = (None if bad else order[0][1], order[0][0])
+    got = {x.entry: (x.lib_id, x.distance) for x in matching.nearest(r, t, 2, bases=6).collect()}
+    assert got == want_near
+    assert {d <= 1 for _, d in got.values()} == {True, False}
+    for m, want in want_match.items():
+        got = {x.entry: (x.lib_id, x.distance) for x in matching.match(r, t, 2, m, bases=6).collect()}
+        assert set(got) == set(want)
+        for e, (lib_id, total) in want.items():
+            assert got[e][0] == lib_id, e
+            assert (got[e][1] is None) == (total is None) and (total is None or abs(got[e][1] - math.floor(total + 1e-9)) <= (abs(total - round(total)) < 1e-9)), e
