@@ -44,7 +44,7 @@ from issq.llm.common import Scratch, even_keys, held_out, parts, session_limits
 #: Ids: 0 rare, 1 end, then the frequent words.
 RARE, END = 0, 1
 HEADS = 16_384
-STATES = 6
+STATES = 12
 ROUNDS = 2
 #: Blocks of documents whose ids set the start of training.
 SAMPLE_BLOCKS = 4

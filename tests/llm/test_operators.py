@@ -483,6 +483,10 @@ def test_language_model_base_and_gain(spark):
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws))
     train = got[~got.held_out]
     assert train.score.sum() > train.base_score.sum()
+    plain = op8.lm_scores(spark.read.parquet(f"{sf}/documents.parquet"), states=1).toPandas().set_index("doc_id")
+    for out in (False, True):  # the latent states gain on rows that were not learnt from, too
+        mine, one = (t[t.held_out == out].score.sum() / t[t.held_out == out].n_tokens.sum() for t in (got, plain))
+        assert mine > one + 0.2, out
 
 
 def test_language_model_on_hard_rows(spark):
