@@ -60,7 +60,9 @@ from issq.operators.components import components
 
 #: Similarity threshold NUM / DEN; k(a, b) below follows from it.
 NUM, DEN = 3, 4
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
+#: Text bytes of a block that are split into words at a time.
+TEXT_BYTES = 1 << 20
 #: Bands up to this size give every feature a partition of its own, nearly.
 FINE = 32
 #: Fronts are this much longer than a set without left-out features needs.
@@ -242,8 +244,15 @@ def set_nodes(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    _, _, _, at, words = tk.words_of(texts)
-    return tk.distinct(*tk.shingles(words, at))
+    """The set of every text, and where each begins; a piece at a time, as the
+    temporaries are many times the size of the text."""
+    sets, sizes = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
+    for a, b in tk.pieces(texts, TEXT_BYTES):
+        _, _, _, at, words = tk.words_of(texts.slice(a, b - a))
+        found, off = tk.distinct(*tk.shingles(words, at))
+        sets.append(found)
+        sizes.append(np.diff(off))
+    return np.concatenate(sets), np.cumsum(np.concatenate(sizes))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], keys: list[int], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
