@@ -27,8 +27,12 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 #: Distinct words joined into one text when new ones are encoded.
 JOIN = 256
+#: Bytes of word prefixes encoded at a time.
+PREFIX_BYTES = 1 << 20
 #: Distinct words kept by a coder before it starts afresh.
 CACHE_WORDS = 400_000
+#: Ids kept by a coder before it starts afresh.
+CACHE_IDS = 8_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
@@ -139,6 +143,65 @@ class WordCoder:
         np.cumsum(~letter, out=odd[1:])
         return buf, ends, at, unit_start, unit_end, last, odd
 
+    def _slots(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Where the ids of each span's text are kept; new texts are encoded."""
+        hashes = tk.span_hashes(buf, starts, ends)
+        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self._hash) > CACHE_WORDS or len(self._ids) > CACHE_IDS:
+            self._reset()
+        pos = np.searchsorted(self._hash, uniq)
+        known = np.zeros(len(uniq), dtype=bool)
+        inside = pos < len(self._hash)
+        known[inside] = self._hash[pos[inside]] == uniq[inside]
+        if not known.all():
+            new = first[~known]
+            a, b, data = starts[new], ends[new], buf.tobytes()
+            self._learn(uniq[~known], [data[i:j].decode() for i, j in zip(a.tolist(), b.tolist())], odd[a] == odd[b])
+            pos = np.searchsorted(self._hash, uniq)
+        return self._slot[pos][inverse] if len(uniq) else np.zeros(0, dtype=np.int64)
+
+    def every_prefix(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts without nulls: the tokens of each text's first 1, 2, ...
+        bytes, n+1 offsets, and which of these prefixes end inside a character
+        (their counts mean nothing). Different words are done once; the work on
+        one grows with the square of its length."""
+        if not self.by_word:
+            raise ValueError("counts at every byte need a tokenizer that drops white space and marks word ends")
+        raw, offsets = tk.buffers(texts)
+        _, _, _, upto, at = self.encode(texts)
+        buf, _, _, _, _, _, odd = self._units(raw, offsets)
+        starts, stops, _ = tk.word_spans(raw, offsets)
+        broken = np.zeros(len(raw), dtype=bool)
+        broken[:-1] = (raw[1:] & 0xC0) == 0x80
+        # Words that end at or before each prefix's end.
+        done = np.cumsum(np.bincount(stops, minlength=len(raw) + 1))[1 : len(raw) + 1]
+        some = done > np.repeat(at[:-1], np.diff(offsets))
+        counts = np.zeros(len(raw), dtype=np.int64)
+        counts[some] = upto[done[some] - 1]
+        # Within a word its own prefix adds to them.
+        _, first, same = np.unique(tk.span_hashes(buf, starts, stops), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        word, rank = first[order], np.argsort(order)[same]
+        size = stops[word] - starts[word]
+        table, table_at = np.zeros(int(size.sum()), dtype=np.int64), np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(word)), size)
+        place = np.arange(len(table)) - table_at[owner]
+        inner = (place + 1 < size[owner]) & ~broken[starts[word][owner] + place]
+        owner, place = owner[inner], place[inner]
+        heavy = np.concatenate([[0], np.cumsum(place + 1)])
+        a = 0
+        while a < len(place):
+            b = max(int(np.searchsorted(heavy, heavy[a] + PREFIX_BYTES, side="right")) - 1, a + 1)
+            begin = starts[word][owner[a:b]]
+            slot = self._slots(buf, begin, begin + place[a:b] + 1, odd)
+            table[table_at[owner[a:b]] + place[a:b]] = self._off[slot + 1] - self._off[slot]
+            a = b
+        lens = stops - starts
+        which = np.repeat(np.arange(len(starts)), lens)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(lens) - lens, lens)
+        counts[starts[which] + step] += table[table_at[rank[which]] + step]
+        return counts, offsets, broken
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of texts without nulls: ids, n+1 id offsets, end of every word in
         bytes of its text, tokens up to that end, and n+1 word offsets."""
@@ -150,20 +213,7 @@ class WordCoder:
             flat = np.fromiter((x for w in ids for x in w), dtype=np.uint32, count=int(off[-1]))
             return flat, off, np.diff(offsets), lens, np.arange(len(ids) + 1)
         buf, ends, at, unit_start, unit_end, last, odd = self._units(raw, offsets)
-        hashes = tk.span_hashes(buf, unit_start, unit_end)
-        uniq, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self._hash) > CACHE_WORDS:
-            self._reset()
-        pos = np.searchsorted(self._hash, uniq)
-        known = np.zeros(len(uniq), dtype=bool)
-        inside = pos < len(self._hash)
-        known[inside] = self._hash[pos[inside]] == uniq[inside]
-        if not known.all():
-            new = first[~known]
-            a, b, data = unit_start[new], unit_end[new], buf.tobytes()
-            self._learn(uniq[~known], [data[i:j].decode() for i, j in zip(a.tolist(), b.tolist())], odd[a] == odd[b])
-            pos = np.searchsorted(self._hash, uniq)
-        slot = self._slot[pos][inverse] if len(uniq) else np.zeros(0, dtype=np.int64)
+        slot = self._slots(buf, unit_start, unit_end, odd)
         begin, lens = self._off[slot], self._off[slot + 1] - self._off[slot]
         unit_upto = np.concatenate([[0], np.cumsum(lens)])
         ids = self._ids[np.repeat(begin - unit_upto[:-1], lens) + np.arange(int(unit_upto[-1]))]

@@ -5,10 +5,20 @@ stored: counts[j] = counts[j-1] + tokens of word j, where the tokens of a
 distinct word are found once. The stored table answers how many tokens a
 prefix has (``tokens_at``) and where to cut for a budget (``cut_at``) without
 encoding anything again. Prefixes that end inside a word count up to the last
-whole word.
+whole word there.
+
+With ``every_byte`` a second table has the exact count at every byte: tokens of
+the whole words before it plus those of the broken word's own prefix, found once
+for each distinct word (``tokens_upto``, ``longest_within``). It takes four
+bytes a byte of text, and the work on one word grows with the square of its
+length. It needs a tokenizer that works word by word (others raise an error).
 
 Defined results: null counts as empty, and an empty text has 0 bytes, 0 tokens
-and empty tables; ids may be null or repeat (one row out per row in).
+and empty tables; ids may be null or repeat (one row out per row in); an empty
+table gives no rows. Texts are encoded whole, a very long one as a piece of its
+own. Other columns are not read, so their names may clash with the result's; a
+result column gets a trailing underscore where the id column has its name.
+Tokenizers that do not work word by word get one entry a text.
 """
 
 from __future__ import annotations
@@ -22,12 +32,13 @@ from pyspark.sql import functions as F
 
 from issq.llm import textkernel as tk
 from issq.llm.bpe import coder
-from issq.llm.common import session_limits
+from issq.llm.common import free_name, session_limits
 
 TABLE = "n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>"
+EVERY = "tokens_upto array<int>"
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, tables: bool) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], path: str, tables: bool, every_byte: bool) -> Iterator[pa.RecordBatch]:
     model = coder(path)
     for batch in batches:
         texts = tk.no_nulls(batch.column(1))
@@ -45,17 +56,41 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, tables: bool) -> Iterat
                 bounds = pa.array(at.astype(np.int32))
                 columns += [pa.ListArray.from_arrays(bounds, pa.array(ends.astype(np.int32))), pa.ListArray.from_arrays(bounds, pa.array(upto.astype(np.int32)))]
                 names += ["prefix_bytes", "prefix_tokens"]
+            if every_byte:
+                counts, bounds, broken = model.every_prefix(part)
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(counts.astype(np.int32), mask=broken)))
+                names.append("tokens_upto")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tables: bool = True) -> DataFrame:
-    """id, n_bytes, n_tokens and, with ``tables``, the prefix tables."""
+def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", tables: bool = True, every_byte: bool = False) -> DataFrame:
+    """id, n_bytes, n_tokens, with ``tables`` the prefix tables, and with
+    ``every_byte`` tokens_upto: entry p is the count of the first p bytes, null
+    where they end inside a character."""
     session_limits(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + (TABLE if tables else "n_bytes long, n_tokens long")
+    schema = ", ".join([f"id {kind}", TABLE if tables else "n_bytes long, n_tokens long", *[EVERY] * every_byte])
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    out = rows.mapInArrow(lambda it: _count(it, tokenizer_path, tables), schema)
-    return out.withColumnRenamed("id", id_col)
+    out = rows.mapInArrow(lambda it: _count(it, tokenizer_path, tables, every_byte), schema)
+    names = [id_col]
+    for c in out.columns[1:]:
+        names.append(free_name(names, c))
+    return out.toDF(*names)
+
+
+def tokens_upto(n_bytes: Column, table: Column) -> Column:
+    """Tokens of the first ``n_bytes`` bytes by the table of every byte, up to
+    the last whole character; beyond the text's end, of all of it."""
+    p = F.least(n_bytes, F.size(table))
+    entries = [F.when(p > k, F.get(table, (p - 1 - k).cast("int"))) for k in range(4)]
+    return F.coalesce(*entries, F.lit(0))
+
+
+def longest_within(budget: Column, table: Column) -> Column:
+    """Bytes of the longest prefix, whole characters, of at most ``budget``
+    tokens. A longer prefix can have fewer tokens, so it is the last entry."""
+    fits = F.transform(table, lambda v, i: F.when(v <= budget, i + 1))
+    return F.coalesce(F.array_max(fits), F.lit(0))
 
 
 def _entries_upto(values: Column, bound: Column) -> Column:

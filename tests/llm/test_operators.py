@@ -275,6 +275,28 @@ def test_token_counts_and_prefix_tables(spark, sf):
         head = text.encode()[: r.cut].decode()
         assert len(encode(head)) == r["at"] <= 9
     assert op4.token_counts(table(spark, []), H.TOKENIZER).count() == 0
+    named = table(spark, [(1, "two words")]).withColumnRenamed("doc_id", "N_tokens")
+    assert op4.token_counts(named, H.TOKENIZER, id_col="N_tokens").first().asDict() == {"N_tokens": 1, "n_bytes": 9, "n_tokens_": 2, "prefix_bytes": [3, 9], "prefix_tokens": [1, 2]}
+
+
+def test_token_counts_at_every_byte(spark, sf):
+    """Each entry against the library on that prefix; cuts against all of them."""
+    model = Tokenizer.from_file(H.TOKENIZER)
+    texts = [t if t is None else t[:700] for _, t in H.HARD] + [(t or "")[:300] for _, t in texts_of(spark, sf)[:12]]
+    texts += ["e\u0301te\u0301 A\u030angstrom", "don't U.S.A... <|endoftext|>x <|ENDoftext|>", "x" * 400, " lead and trail \n", "\U0001f469\u200d\U0001f680 \u6f22\u5b57"]
+    got = op4.token_counts(table(spark, list(enumerate(texts))), H.TOKENIZER, every_byte=True).withColumn("cut", op4.longest_within(F.lit(7), F.col("tokens_upto")))
+    got = got.withColumn("whole", op4.tokens_upto(F.lit(1 << 20), F.col("tokens_upto"))).withColumn("five", op4.tokens_upto(F.lit(5), F.col("tokens_upto")))
+    for r in got.collect():
+        raw, want = (texts[r.doc_id] or "").encode(), []
+        for p in range(1, len(raw) + 1):
+            try:
+                want.append(len(model.encode(raw[:p].decode(), add_special_tokens=False).ids))
+            except UnicodeDecodeError:
+                want.append(None)
+        assert r.tokens_upto == want
+        assert r.whole == r.n_tokens
+        assert r.five == next((v for v in reversed(want[:5]) if v is not None), 0)
+        assert r.cut == max((p for p, v in enumerate(want, 1) if v is not None and v <= 7), default=0)
 
 
 def test_packing_round_trip(spark, sf):
