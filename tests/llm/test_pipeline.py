@@ -48,6 +48,32 @@ def test_stages(spark, sf, tmp_path):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in rows}
 
 
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, repeated rows, empty and long texts, a clashing
+    column; and an empty table."""
+    like = spark.read.parquet(f"{sf}/documents.parquet").schema
+    long = " ".join(f"w{k}" for k in range(40_000))
+    rows = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", "en", "s", 0), (3, " \t", None, "s", 2), (4, "same five words stand here twice", "en", None, 32), (4, "same five words stand here twice", "en", None, 32),
+            (5, long, "en", "s", len(long)), (6, long + " more", "en", "s", len(long) + 5), (None, "a text of some words without any id", "en", "s", 35)]
+    at = dict(C.STAGES)
+    for some in (rows, []):
+        docs = spark.createDataFrame(some, like).withColumn("gone", F.lit(1)).withColumn("score", F.lit("x"))
+        sizes = {}
+        for name in ("toxicity", "exact_dedup", "jaccard_join", "decontamination"):
+            out = at[name](spark, docs, sf)
+            assert out.columns == docs.columns
+            sizes[name] = sorted((r.doc_id is None, r.doc_id, len(r.text or "")) if r.doc_id is not None else (True, 0, len(r.text or "")) for r in out.collect())
+        packed = at["packing"](spark, docs, sf)
+        assert packed.where("start = 0").count() == len(some)
+        every = sorted((d is None, d or 0, len(t or "")) for d, t, *_ in some)
+        assert sizes["toxicity"] == sizes["decontamination"] == every
+        if some:
+            assert sizes["exact_dedup"] == [(False, 3, 2), (False, 4, 32), (False, 5, len(long)), (False, 6, len(long) + 5), (True, 0, 35)]
+            assert sizes["jaccard_join"] == [r for r in every if r[:2] != (False, 6)]
+        else:
+            assert not any(sizes.values())
+
+
 def test_run(spark, sf):
     got = C.run(spark, sf)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
