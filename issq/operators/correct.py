@@ -29,7 +29,7 @@ def color_correct(vector: Column, dyes: list[list[float]] = EXAMPLE_DYES) -> Col
     """Least-squares dye amounts of one channel vector, negatives to 0."""
     rows = unmix(dyes)
     terms = [sum((F.lit(w) * vector[k] for k, w in enumerate(row)), F.lit(0.0)) for row in rows]
-    return F.array(*[F.greatest(t, F.lit(0.0)) for t in terms])
+    return F.array(*[F.when(t < 0, 0.0).otherwise(t) for t in terms])
 
 
 def crosstalk(pixels: DataFrame, bins: int = 8) -> DataFrame:
@@ -57,6 +57,34 @@ def dye_matrix(pixels: DataFrame, bins: int = 8) -> DataFrame:
     return own.unionByName(crosstalk(pixels, bins).withColumnRenamed("crosstalk", "response"))
 
 
+def estimated_dyes(pixels: DataFrame, bins: int = 8) -> tuple[list, list[list[float]]]:
+    """The channels in order, and the estimated matrix of dyes by channels: one
+    number for each two channels. A ratio that cannot be told counts as 0."""
+    found = {(r.source, r.target): r.response for r in dye_matrix(pixels, bins).collect()}
+    channels = sorted({source for source, _ in found})
+    return channels, [[float(found.get((s, t)) or 0.0) for t in channels] for s in channels]
+
+
+def color_correct_pixels(pixels: DataFrame, dyes: list[list[float]] | None = None, bins: int = 8) -> DataFrame:
+    """id, dye, v of pixels in rows id, channel, v: the dye amounts in the type
+    of v (integers cut off). Without a matrix it is estimated from the pixels;
+    a given one has a column for each channel, in order. A pixel that lacks a
+    channel has null amounts; an empty table gives no rows."""
+    if dyes is None:
+        channels, dyes = estimated_dyes(pixels, bins)
+    else:
+        channels = sorted(r[0] for r in pixels.select("channel").distinct().collect())
+        if channels and len(dyes[0]) != len(channels):
+            raise ValueError(f"a matrix of {len(dyes[0])} channels for pixels of {len(channels)}")
+    kind = pixels.schema["v"].dataType
+    if not channels:
+        return pixels.select("id", F.lit(0).alias("dye"), "v").limit(0)
+    each = [F.max(F.when(F.col("channel") == c, F.col("v"))) for c in channels]
+    amounts = color_correct(F.col("w"), dyes)
+    wide = pixels.groupBy("id").agg(F.array(*each).alias("w")).select("id", F.posexplode(amounts).alias("dye", "v"))
+    return wide.withColumn("v", F.col("v").cast(kind))
+
+
 def background_levels(stack: DataFrame, layer: str, pixel: list[str], value: str = "v", percent: float = 0.05) -> DataFrame:
     """Per layer and pixel: the percentile over images, truncated where values
     are integers, over the layer's largest."""

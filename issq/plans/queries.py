@@ -562,6 +562,11 @@ def i12_dye_matrix(spark, d):
     return correct.dye_matrix(_talk(spark, d)).select("source", "target", r6("response"))
 
 
+@query()
+def i10_color_correct_estimated(spark, d):
+    return correct.color_correct_pixels(_talk(spark, d)).select("id", "dye", r6("v"))
+
+
 _BACK = "WITH l AS (SELECT event_type AS layer, user_id AS x, quantile_cont(value, 0.05) AS low FROM events GROUP BY ALL), b AS (SELECT layer, x, low / max(low) OVER (PARTITION BY layer) AS background FROM l) "
 
 

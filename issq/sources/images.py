@@ -24,12 +24,17 @@ def headers(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-def decode_npy(data: bytes) -> np.ndarray:
+def npy_header(data: bytes) -> tuple[tuple[int, ...], np.dtype, bool, int]:
+    """Shape, type, whether columns come first, and where the pixels start."""
     size = struct.unpack("<H", data[8:10])[0] if data[6] == 1 else struct.unpack("<I", data[8:12])[0]
     start = 10 if data[6] == 1 else 12
     info = ast.literal_eval(data[start : start + size].decode("latin1"))
-    flat = np.frombuffer(data, dtype=np.dtype(info["descr"]), offset=start + size)
-    return flat.reshape(info["shape"], order="F" if info["fortran_order"] else "C")
+    return tuple(info["shape"]), np.dtype(info["descr"]), info["fortran_order"], start + size
+
+
+def decode_npy(data: bytes) -> np.ndarray:
+    shape, kind, columns_first, start = npy_header(data)
+    return np.frombuffer(data, dtype=kind, offset=start).reshape(shape, order="F" if columns_first else "C")
 
 
 def decode_tiff(data: bytes) -> np.ndarray:
@@ -73,3 +78,22 @@ def planes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     ship(spark)
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
     return rows.mapInArrow(_planes, "path string, plane int, width int, height int, v array<double>")
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if data[:6] == b"\x93NUMPY":
+                shape, kind, _, _ = npy_header(data)
+            else:
+                image = decode_tiff(data)
+                shape, kind = image.shape, image.dtype
+            size = int(np.prod(shape, dtype=np.int64)) * kind.itemsize
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([list(shape)], pa.list_(pa.int64())), pa.array([kind.name]), pa.array([size], pa.int64())], names=["path", "shape", "dtype", "nbytes"])
+
+
+def described(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """path, shape, dtype, nbytes of the pixels of each image file."""
+    ship(spark)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
+    return rows.mapInArrow(_described, "path string, shape array<long>, dtype string, nbytes long")
