@@ -447,6 +447,16 @@ def test_urls_against_duckdb(spark):
     assert op6.url_filter(df, []).where("verdict = 'allow'").count() == len(URLS)
 
 
+def test_urls_listed_rules_of_the_contract(spark):
+    """Verdicts written out from the contract's list, beside the SQL."""
+    rows = [
+        (1, "http://a.com/en/1", "com/en/", "block"), (2, "http://www.example.com/en/7x", "example.com/en/7", "allow"), (3, "http://a.net/de/1", "net/de/", "allow"),
+        (4, "http://example.net/de/81", "example.net/de/8", "block"), (5, "http://a.org/es/1", "org/es/", "block"), (6, "http://ads.net/de/8", "net/de/", "allow"),
+    ]
+    got = op6.url_filter(table(spark, [r[:2] for r in rows], "page_id long, url string")).collect()
+    assert sorted((r.page_id, r.url, r.rule, r.verdict) for r in got) == rows
+
+
 def test_urls_fetch_by_token(spark):
     """Only rules filed under a token of the URL run, and each rule's tokens
     are held by every match, so the index loses none."""
