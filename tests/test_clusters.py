@@ -82,6 +82,24 @@ def test_agglomeration_equals_the_definition(spark, linkage, ties):
         assert got == {v: rank[root] for v, root in want.items()}
 
 
+@pytest.mark.parametrize("linkage", ["mean", "max"])
+def test_blocks_of_the_plane_equal_one_run(spark, monkeypatch, linkage):
+    """Points on a grid, so with many equal distances: merging within blocks
+    first gives the clusters of one global run, and rounds on tables have
+    little left to do."""
+    rnd = random.Random(5)
+    places = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(600)]
+    reads = reads_of(spark, places)
+    edges = spatial.distance_matrix(reads, 9, 1, 0, 0)
+    got = cluster.agglomerate([(r.i, r.j, r.dist) for r in edges.collect()], 4.0, linkage)
+    rank = {root: k for k, root in enumerate(sorted({got.get(v, v) for v in range(600)}))}
+    rounds, once = [], cluster._merge_round
+    monkeypatch.setattr(cluster, "_merge_round", lambda *a: rounds.append(1) or once(*a))
+    out = {r.read_id: r.cluster for r in cluster.hierarchical(reads, edges, 4.0, linkage, 1000).collect()}
+    assert out == {v: rank[got.get(v, v)] for v in range(600)}
+    assert len(rounds) <= 1
+
+
 def test_heap():
     heap, order = cluster.Heap(), list(range(100))
     random.Random(3).shuffle(order)
