@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from issq.scratch import checkpointed
 from issq.session import ship
 
 #: Angles of the four elongated footprints of the opening filter.
@@ -115,26 +116,81 @@ def clipped_contrast(plane: np.ndarray, sigma: float = 4.0) -> np.ndarray:
 
 
 FILTERS = {"ellipse": ellipse_filter, "top_hat": top_hat, "background": background_free, "contrast": clipped_contrast}
-
-
-def filter_planes(pixels: DataFrame, method: str, **how) -> DataFrame:
-    """Apply a neighbourhood filter to each (tile..., cycle, channel) plane. One
-    plane is one group; split large images into tiles with a halo first
-    (``tiles``), planes of a stitched slide do not fit a task."""
+#: How far a pixel of each filter sees: an opening twice its footprint.
+REACH = {
+    "ellipse": lambda major=4, minor=0.5: 2 * major,
+    "top_hat": lambda radius=2: 2 * int(radius),
+    "background": lambda sigma=4.0: len(gaussian_weights(sigma)) // 2,
+    "contrast": lambda sigma=4.0: len(gaussian_weights(sigma)) // 2,
+}
+
+
+def filter_planes(pixels: DataFrame, method: str, size: int = 512, **how) -> DataFrame:
+    """Apply a neighbourhood filter to each (cycle, channel, ...) plane, in tiles
+    with a halo of the filter's reach. Borders are those of the whole plane, and
+    the mean and deviation of 'background' and 'contrast' the whole plane's
+    (pixels that are not given count as 0), found by a pass over the tiles, so
+    results do not depend on the tile size."""
     ship(pixels.sparkSession)
     keys = [c for c in pixels.columns if c not in ("x", "y", "v")]
     names = [c for c in pixels.columns if c != "v"]
-    run_filter = FILTERS[method]
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        x0, y0 = df.x.min(), df.y.min()
-        plane = np.zeros((int(df.x.max() - x0) + 1, int(df.y.max() - y0) + 1))
-        at = (df.x.to_numpy() - x0).astype(int), (df.y.to_numpy() - y0).astype(int)
+    run_filter, halo, sigma = FILTERS[method], REACH[method](**how), how.get("sigma", 4.0)
+    fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in pixels.schema.fields}
+
+    def beside(df: DataFrame, facts: DataFrame) -> DataFrame:
+        """Each row with the facts of its plane."""
+        facts = facts.select(*[F.col(f"`{k}`").alias(f"k{n}_") for n, k in enumerate(keys)], *[c for c in facts.columns if c not in keys])
+        same = F.lit(True)
+        for n, k in enumerate(keys):
+            same = same & df[f"`{k}`"].eqNullSafe(facts[f"k{n}_"])
+        return df.join(facts, same).drop(*[f"k{n}_" for n in range(len(keys))])
+
+    ends = pixels.groupBy(*keys).agg(*[f(F.floor(c)).cast("long").alias(f"{c}{n}_") for c in ("x", "y") for n, f in ((0, F.min), (1, F.max))])
+    tiled = beside(tiles(pixels, size, halo), ends)
+    by = [*keys, "tile_x", "tile_y"]
+
+    def load(df: pd.DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[slice, slice]]:
+        """The plane of a tile, the place of each row in it, and where the
+        tile's own pixels are."""
+        tile = int(df.tile_x.iloc[0]), int(df.tile_y.iloc[0])
+        low, high = (int(df.x0_.iloc[0]), int(df.y0_.iloc[0])), (int(df.x1_.iloc[0]), int(df.y1_.iloc[0]))
+        start = [max(t * size - halo, a) for t, a in zip(tile, low)]
+        stop = [min((t + 1) * size + halo, b + 1) for t, b in zip(tile, high)]
+        plane = np.zeros((stop[0] - start[0], stop[1] - start[1]))
+        at = np.floor(df.x.to_numpy()).astype(int) - start[0], np.floor(df.y.to_numpy()).astype(int) - start[1]
         plane[at] = df.v.to_numpy()
-        return df.assign(v=run_filter(plane, **how)[at])[[*names, "v"]]
+        own = tuple(slice(max(t * size, a) - s, max(min((t + 1) * size, b + 1) - s, 0)) for t, a, b, s in zip(tile, low, high, start))
+        return plane, at, own
+
+    def moments(df: pd.DataFrame) -> pd.DataFrame:
+        plane, _, own = load(df)
+        mine = (plane - blur(plane, sigma) if method == "background" else plane)[own]
+        mean = mine.mean() if mine.size else 0.0
+        return df[keys].iloc[:1].assign(n_=mine.size, mean_=mean, squares_=float(((mine - mean) ** 2).sum()))
+
+    if method in ("background", "contrast"):
+        schema = ", ".join([*[fields[k] for k in keys], "n_ long", "mean_ double", "squares_ double"])
+        facts = beside(checkpointed(tiled.groupBy(*by).applyInPandas(moments, schema)), ends.withColumn("area_", (F.col("x1_") - F.col("x0_") + 1) * (F.col("y1_") - F.col("y0_") + 1)))
+        means = facts.groupBy(*keys).agg((F.sum(F.col("n_") * F.col("mean_")) / F.max("area_")).alias("m_"))
+        # Tiles without a pixel near them are 0 throughout.
+        apart = F.col("mean_") - F.col("m_")
+        rest = (F.max("area_") - F.sum("n_")) * F.max("m_") * F.max("m_")
+        spread = beside(facts, means).groupBy(*keys).agg(F.max("m_").alias("m_"), F.sqrt((F.sum(F.col("squares_") + F.col("n_") * apart * apart) + rest) / F.max("area_")).alias("s_"))
+        tiled = beside(tiled, checkpointed(spread))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pixels.schema.fields if f.name != "v") + ", v double"
-    out = pixels.groupBy(*keys).applyInPandas(run, schema)
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        plane, at, _ = load(df)
+        if method == "background":
+            out = (plane - blur(plane, sigma) - df.m_.iloc[0]) / max(df.s_.iloc[0], 1e-12)
+        elif method == "contrast":
+            out = np.maximum((plane - df.m_.iloc[0]) / max(df.s_.iloc[0], 1e-12), 0)
+            out = np.maximum(out - blur(out, sigma), 0)
+        else:
+            out = run_filter(plane, **how)
+        mine = (np.floor(df.x / size) == df.tile_x) & (np.floor(df.y / size) == df.tile_y)
+        return df.assign(v=out[at])[mine][[*names, "v"]]
+
+    out = tiled.groupBy(*by).applyInPandas(run, ", ".join(fields[c] for c in names) + ", v double")
     return out.select(*pixels.columns)
 
 

@@ -1,6 +1,7 @@
 """Dots found in tiles against those of the whole image."""
 
 import numpy as np
+import pytest
 
 from issq.operators import image
 
@@ -35,3 +36,16 @@ def test_dots_do_not_depend_on_tiles(spark):
         assert got.keys() == want
         assert all(np.allclose(v, wide[:, :, int(x), int(y)]) for (x, y, _), v in got.items())
     assert image.detect_dots(pixels.where("v > 1e9")).count() == 0
+
+
+@pytest.mark.parametrize("method", sorted(image.FILTERS))
+def test_filters_do_not_depend_on_tiles(spark, method):
+    """Each filter in small tiles equals the filter of the whole planes; groups
+    are tiles, so no task gets a plane. A corner is not given."""
+    cube, pixels = picture(spark)
+    cube[:, :, 121:, :60] = 0
+    want = np.stack([[image.FILTERS[method](p) for p in each] for each in cube])
+    found = image.filter_planes(pixels, method, 32).collect()
+    assert len(found) == pixels.count() and len({(r.cycle, r.channel, r.x, r.y) for r in found}) == len(found)
+    assert all(abs(r.v - want[r.cycle, r.channel, r.x, r.y]) < 1e-9 for r in found)
+    assert image.filter_planes(pixels.where("v > 1e9"), method).count() == 0
