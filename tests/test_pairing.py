@@ -98,3 +98,21 @@ def test_match_sets_by_constellations(spark):
 def test_j13_equals_brute_force(spark, sf):
     got = base_queries()["j13_match_sets"](spark, sf).collect()
     assert sorted((r.set_0, r.set_1, r.set_2) for r in got) == brute_sets([points(queries._points(spark, sf, 3, k)) for k in range(3)])
+
+
+def test_mutual_best_of_all_pairs_without_all_pairs(spark):
+    """Equal places, ties, and points without a place; every plan that ran is
+    free of joins of all pairs."""
+    rng = np.random.default_rng(4)
+    p, q = rng.integers(0, 40, (300, 2)).astype(float), rng.integers(0, 40, (200, 2)).astype(float)
+    d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
+    near, back = d.argmin(axis=1), d.argmin(axis=0)
+    want = {(i, int(j), d[i, j]) for i, j in enumerate(near) if back[j] == i}
+    odd = spark.createDataFrame([(900, None, 1.0), (901, float("nan"), 1.0), (902, float("inf"), 2.0)], "id long, x double, y double")
+    left, right = (as_table(spark, each).unionByName(odd) for each in (p, q))
+    got = pairing.pair_all(left, right)
+    assert {(r.id_i, r.id_j, r.d) for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    apart = pairing.pair_all(as_table(spark, p), as_table(spark, q), lambda: pairing.euclid() + 0)
+    assert {(r.id_i, r.id_j, r.d) for r in apart.collect()} == want
+    assert pairing.pair_all(left, odd).count() == 0
